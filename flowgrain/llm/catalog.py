@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ogg, sharding, simhash
+from . import chat, ogg, sharding, simhash, substring
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op6(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.op9(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_chat_formatting, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op9_media_columns, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
