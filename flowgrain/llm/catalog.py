@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ogg, sharding, simhash, substring
+from . import chat, ogg, packing, sharding, simhash, substring
 from .shared import table
 
+#: Name of the vocabulary file, looked up in the package of public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +27,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op6(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op8(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.op9(table(spark, sf_dir, "documents"))
 
@@ -33,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op8_best_fit_packing, op9_media_columns, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
