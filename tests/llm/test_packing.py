@@ -58,5 +58,5 @@ def test_every_piece_has_its_own_place(spark):
         p.sort()
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(p[-1]) <= 4096
     lengths = np.array([w[3] for w in want])
-    assert len(place) <= packing.best_fit(lengths).max() + 2
+    assert len(place) <= packing.best_fit(lengths).max() + 4  # partitions of 8 pieces only
     assert packing.op8(df.limit(0), PATH).count() == 0
