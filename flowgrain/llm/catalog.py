@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ogg, packing, quality, sharding, simhash, substring
+from . import chat, decontam, ogg, packing, quality, sharding, simhash, substring
 from .shared import table
 
 #: Name of the vocabulary file, looked up in the package of public tokenizers.
@@ -15,6 +15,10 @@ VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op8_best_fit_packing, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op8_best_fit_packing, op9_media_columns, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

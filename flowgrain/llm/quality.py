@@ -163,7 +163,7 @@ class Rule:
     """
 
     quantile: float = 0.99
-    margin: float = 1.15
+    margin: float = 1.1
     least: int = 50
 
 
