@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, ogg, packing, quality, sharding, simhash, substring
+from . import chat, decontam, html_extract, ogg, packing, quality, sharding, simhash, substring, url_rules
 from .shared import table
 
 #: Name of the vocabulary file, looked up in the package of public tokenizers.
@@ -31,10 +31,18 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.op7(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -54,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op6_substring_dedup, op8_best_fit_packing, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_best_fit_packing, op9_media_columns, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
