@@ -61,8 +61,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_best_fit_packing, op9_media_columns, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_best_fit_packing, op9_media_columns, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
