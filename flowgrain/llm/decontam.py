@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, rolling
-from .shared import materialize, text_or_empty
+from .shared import materialize, text_or_empty, without_ids
 
 #: Bytes between words: all ASCII signs, white space and controls.
 SIGNS = np.ones(256, bool)
@@ -108,16 +108,40 @@ class Items:
             bitmap = np.zeros(1 << 20, bool)
             bitmap[(g >> _U(44)).astype(np.int64)] = True
             self.filters[q] = bitmap
-        self.keys = [self._keys(w[None, :], len(w)) if len(w) else None for w in self.words]
+        self.k = np.array([allowed(len(w), rate) for w in self.words], np.int64)
+        self.hits = np.array([n for _, n in self.need], np.int64)
+        self.places: dict[tuple[int, int], np.ndarray] = {}
+        self.keys = np.zeros((len(self.words), self.tables), np.uint64)
+        for width, own in self._by_width([len(w) for w in self.words]).items():
+            rows = np.zeros((len(own), width), np.uint64)
+            for x, i in enumerate(own):
+                rows[x, : len(self.words[i])] = self.words[i]
+            self.keys[own] = self._keys(rows, np.array([len(self.words[i]) for i in own]))
+
+    @staticmethod
+    def _by_width(lengths) -> dict[int, list[int]]:
+        """Positions of sequences by the power of two that holds them; empty ones are left out."""
+        out: dict[int, list[int]] = {}
+        for i, n in enumerate(lengths):
+            if n:
+                out.setdefault(1 << (int(n) - 1).bit_length(), []).append(i)
+        return out
 
-    def _keys(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """For windows of an item of n words, one bucket key for each repetition."""
-        out = np.empty((len(windows), self.tables), np.uint64)
+    def _places(self, n: int, table: int) -> np.ndarray:
+        """The positions of the walk that a repetition samples for an item of n words."""
+        if (n, table) not in self.places:
+            rng = np.random.default_rng([self.seed, n, table])
+            self.places[n, table] = rng.integers(0, 2 * n, self.sampled)
+        return self.places[n, table]
+
+    def _keys(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """One bucket key for each row (words, padded with zeros) and repetition."""
+        out = np.empty((len(rows), self.tables), np.uint64)
+        sizes, which = np.unique(lengths, return_inverse=True)
         for r in range(self.tables):
-            rng = np.random.default_rng([self.seed, n, r])
-            steps = 2 * n
-            at = np.sort(rng.choice(steps, min(self.sampled, steps), replace=False))
-            out[:, r] = rolling_rows(walk(windows, int(at[-1]) + 1, self.seed + r)[:, at])
+            at = np.stack([self._places(int(n), r) for n in sizes])[which]
+            steps = walk(rows, int(at.max()) + 1, self.seed + r)
+            out[:, r] = rolling_rows(np.take_along_axis(steps, at, 1))
         return out
 
     def _regions(self, h: np.ndarray, words: Words) -> Iterator[tuple[int, int, int]]:
@@ -136,8 +160,7 @@ class Items:
             key = doc * len(self.words) + it
             order = np.lexsort((pos - pl, key))
             key, diagonal, doc, it, pos, pl = key[order], (pos - pl)[order], doc[order], it[order], pos[order], pl[order]
-            k = np.array([allowed(len(w), self.rate) for w in self.words])[it]
-            need = np.array([n for _, n in self.need])[it]
+            k, need = self.k[it], self.hits[it]
             # Hits of one alignment lie on diagonals at most k apart from its start: need of them in a band of 2k + 1.
             span = np.int64(1 << 40)
             flat = key * span + diagonal
@@ -151,32 +174,42 @@ class Items:
                 for d, i, s in sorted({(int(doc[x]), int(it[x]), int(diagonal[x])) for x in live}):
                     yield d, i, s
 
-    def find(self, h: np.ndarray, words: Words) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first word, words, distance): the nearest passage of each item in each document."""
+    def windows(self, h: np.ndarray, words: Words, row: int) -> list[tuple[int, int, int, np.ndarray]]:
+        """(row of the document, item, first word, words from there on) of each item-sized window that may match."""
         starts: dict[tuple[int, int], set[int]] = {}
         for d, i, s in self._regions(h, words):
-            k = allowed(len(self.words[i]), self.rate)
+            k = int(self.k[i])
             first, last = int(words.bound[d]), int(words.bound[d + 1])
             starts.setdefault((d, i), set()).update(range(max(first, s - k), min(last, s + k + 1)))
-        found = []
+        out = []
         for (d, i), places in starts.items():
-            own, last = self.words[i], int(words.bound[d + 1])
-            n, k = len(own), allowed(len(own), self.rate)
-            at = np.array(sorted(places))
-            best = None
-            for some in np.array_split(at, -(-len(at) // 4096)):
-                index = some[:, None] + np.arange(n)
-                windows = np.where(index < last, h[np.minimum(index, len(h) - 1)], _U(0))
-                close = (self._keys(windows, n) == self.keys[i]).any(1)
-                for s in some[close].tolist():
-                    distance, length = edit_distance(own, h[s : min(last, s + n + k)], k)
-                    if distance <= k and (best is None or distance < best[4]):
-                        best = (d, i, s - int(words.bound[d]), length, distance)
-                if best and best[4] == 0:
-                    break
-            if best:
-                found.append(best)
-        return found
+            first, last, n = int(words.bound[d]), int(words.bound[d + 1]), len(self.words[i]) + int(self.k[i])
+            out += [(row + d, i, s - first, h[s : min(last, s + n)]) for s in sorted(places)]
+        return out
+
+    def matches(self, windows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, first word, words, distance): the nearest verified passage of each item in each document."""
+        lengths = [len(self.words[w[1]]) for w in windows]
+        agreed = np.zeros(len(windows), np.int64)
+        for width, own in self._by_width(lengths).items():
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                rows = np.zeros((len(some), width), np.uint64)
+                for x, w in enumerate(some):
+                    part = windows[w][3][: lengths[w]]
+                    rows[x, : len(part)] = part
+                keys = self._keys(rows, np.array([lengths[w] for w in some]))
+                agreed[some] = (keys == self.keys[[windows[w][1] for w in some]]).sum(1)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for w in np.argsort(-agreed, kind="stable")[: int((agreed > 0).sum())].tolist():
+            row, i, start, words = windows[w]
+            have = best.get((row, i))
+            if have and have[2] == 0:
+                continue
+            distance, length = edit_distance(self.words[i], words, int(self.k[i]))
+            if distance <= self.k[i] and (have is None or (distance, start) < (have[2], have[0])):
+                best[row, i] = (start, length, distance)
+        return [(row, i, *found) for (row, i), found in best.items()]
 
 
 def rolling_rows(x: np.ndarray) -> np.ndarray:
@@ -219,15 +252,21 @@ def _finder(shared, rate: float, recall: float, sampled: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value, rate, recall, sampled, seed)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+        def found(ids: pa.Array, hits: list) -> pa.RecordBatch:
+            cols = list(zip(*hits, strict=True)) or [[]] * 5
+            return pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), pa.array([items.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names)
+
         for b in batches:
-            for row, end, data, off in chunks(b.column(1)):
+            near = []
+            for row, _, data, off in chunks(b.column(1)):
                 words = Words(data, off, SIGNS)
-                hits = items.find(words.hashes(0, LOWER), words)
-                ids = b.column(0).slice(row, end - row)
-                cols = list(zip(*hits, strict=True)) or [[]] * 5
-                yield pa.record_batch(
-                    [ids.take(pa.array(cols[0], pa.int64())), pa.array([items.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names
-                )
+                near += items.windows(words.hashes(0, LOWER), words, row)
+                if len(near) > 1 << 16:
+                    # Windows of one document stay together: chunks end between documents.
+                    yield found(b.column(0), items.matches(near))
+                    near = []
+            yield found(b.column(0), items.matches(near))
 
     return run
 
@@ -239,4 +278,4 @@ def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a near copy of an item; all rows of a doc_id go with one of them."""
     bad = materialize(contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("bad_id"), "left_anti")
+    return without_ids(docs, bad)
