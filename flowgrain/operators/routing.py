@@ -128,14 +128,14 @@ class DoubleRhomb2dSwitchboard(ChannelSwitchboard):
             i, odd = divmod(x2 - (r % 2), 2)
             return None if odd or not 0 <= r < len(rows) or not 0 <= i < rows[r] else int(starts[r]) + i
 
-        fields = []
+        # Along the two diagonals fields are d channels apart; of the possible offsets the one with most fields counts.
+        found: dict[tuple[int, int], list[list[int]]] = {}
         for top in range(len(rows)):
-            for x2 in range(2 * lx):
-                if channel(top, x2) is None or top % d or (x2 - d + 1) % d:
-                    continue
+            for x2 in range(top % 2, 2 * lx, 2):
                 cells = [channel(top + a + b, x2 + a - b) for a in range(d) for b in range(d)]
                 if None not in cells:
-                    fields.append(cells)
+                    found.setdefault(((top + x2) // 2 % d, (top - x2) // 2 % d), []).append(cells)
+        fields = max(found.values(), key=len, default=[])
         if not fields:
             raise ValueError("no field fits the grid")
         self.fields = fields

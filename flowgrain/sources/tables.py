@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +42,10 @@ def from_array(spark: SparkSession, x: np.ndarray, chunk: Sequence[int] | int |
     x = np.asarray(x, float)
     if x.ndim != 2:
         raise ValueError("a matrix of rows is needed")
-    data = {"t": np.arange(len(x)), "x": list(x)}
+    data = {"t": np.arange(len(x)), "x": pa.array(list(x), pa.list_(pa.float64()))}
     if chunk is not None:
-        data["chunk"] = np.broadcast_to(chunk, (len(x),))
-    return spark.createDataFrame(pd.DataFrame(data | columns))
+        data["chunk"] = np.broadcast_to(chunk, (len(x),)).copy()
+    return spark.createDataFrame(pa.table(data | columns))
 
 
 def to_array(df: DataFrame, column: str = "x", order: str = "t") -> np.ndarray:

@@ -166,6 +166,10 @@ class CCIPCA(Online):
         keep, new = (i - 1 - forget) / i, (1 + forget) / i
         r = x.copy()
         for j in range(k):
+            if i <= k and j >= i - 1:  # a component begins as what the first ones leave of its row
+                if j == i - 1 and np.linalg.norm(r) > 1e-12:
+                    s["v"][j] = r
+                break
             v = s["v"][j]
             norm = np.linalg.norm(v)
             v = keep * v + new * (r @ v) / max(norm, 1e-300) * r
