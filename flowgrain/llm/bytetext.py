@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -52,7 +52,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64 and of its inverse."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
+        size = -(-n // 65_536) * 65_536 + 1024
         base = _BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -60,7 +60,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[which] = have
     return have[0][:n], have[1][:n]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Words, chunks
-from .shared import materialize, text_or_empty
+from .shared import materialize, text_or_empty, with_ids, without_ids
 
 ORDER, SYMBOLS, SHARDS = 4, 34, 34
 GAP, CAPITAL, FOREIGN, DIGIT, STOP, SIGN, AGAIN = 0, 27, 28, 29, 30, 31, 32
@@ -183,7 +183,8 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
     null perplexity and is kept, as are all where no trusted text exists. A null language is the empty one.
     """
     trusted_ids = labels.groupBy(F.col("doc_id").cast("bigint").alias("trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select("trusted_id")
-    trusted = docs.join(trusted_ids, F.col("doc_id").cast("bigint") == F.col("trusted_id"), "left_semi")
+    trusted_ids = materialize(trusted_ids, "trusted")
+    trusted = with_ids(docs.select("doc_id", "text"), trusted_ids)
     scored = materialize(score(docs, train(trusted)), "scored")
     limits = thresholds(scored.join(trusted_ids, F.col("doc_id") == F.col("trusted_id"), "left_semi"), rule)
     general = limits.where("lang is null").select(F.col("threshold").alias("general"))
@@ -197,4 +198,4 @@ def classify(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps; all rows of a doc_id go with its worst row."""
     bad = materialize(classify(docs, labels, rule).where("not keep").select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
-    return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("bad_id"), "left_anti")
+    return without_ids(docs, bad)

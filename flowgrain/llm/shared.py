@@ -43,5 +43,47 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Texts that go to Python in one Arrow batch. They are long: Spark's default of 10,000 would hold some 40 MB several times.
+BATCH = 1000
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
+    """A text column without nulls; all operators that take texts to Python go through it, so it sets their batch size."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+#: 64-bit words of the bitmap of ids; with its index each has 16 bytes, so a bitmap has at most 16 MB.
+WORDS = 1 << 20
+
+
+def sifted(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among ``ids``, rows whose id surely isn't), without a shuffle of the rows.
+
+    The ids (one bigint column) are hashed into a bitmap of fixed size, which is broadcast with that proven
+    bound; every row meets its word of the bitmap on the map side. More ids than the bitmap can tell apart only
+    let more rows into the first frame. A null id surely isn't.
+    """
+    words = ids.toDF("id__").where("id__ is not null").select(
+        F.pmod(F.xxhash64("id__"), F.lit(WORDS)).alias("word__"), F.expr("shiftleft(1L, int(pmod(shiftright(xxhash64(id__), 32), 64)))").alias("one__")
+    )
+    words = F.broadcast(materialize(words.groupBy("word__").agg(F.bit_or("one__").alias("bits__")), "bitmap"))
+    key = F.col(column).cast("bigint")
+    met = rows.join(words, F.pmod(F.xxhash64(key), F.lit(WORDS)) == F.col("word__"), "left")
+    own = F.expr(f"shiftrightunsigned(bits__, int(pmod(shiftright(xxhash64(cast({column} as bigint)), 32), 64))) & 1") == 1
+    may = F.coalesce(own & key.isNotNull(), F.lit(False))
+    return met.where(may).select(rows.columns), met.where(~may).select(rows.columns)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ``ids``; only those that may be are shuffled."""
+    may, _ = sifted(rows, ids, column)
+    return may.join(ids.toDF("id__").distinct().hint("merge"), F.col(column).cast("bigint") == F.col("id__"), "left_semi").select(rows.columns)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids`` (null ids stay); only those that may be are shuffled."""
+    may, surely = sifted(rows, ids, column)
+    return surely.unionByName(may.join(ids.toDF("id__").distinct().hint("merge"), F.col(column).cast("bigint") == F.col("id__"), "left_anti").select(rows.columns))
