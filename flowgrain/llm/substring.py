@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, chunks, inside_document, mix, rolling
-from .shared import discard, materialize, text_or_empty
+from .shared import discard, materialize, sifted, text_or_empty
 
 WIDTH, GRAM = 50, 16
 #: Runs of one level that are merged into one of the next.
@@ -235,7 +235,9 @@ class FingerprintIndex:
         batch_texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
         texts = None
         for k, source in [*self.texts, (rank, batch_texts)]:
-            part = source.join(wanted.where(F.col("rank") == k), "doc_id").select("rank", "doc_id", "text", "prints")
+            mine = wanted.where(F.col("rank") == k)
+            may, _ = sifted(source, mine.select("doc_id"))
+            part = may.join(mine.hint("merge"), "doc_id").select("rank", "doc_id", "text", "prints")
             texts = part if texts is None else texts.unionByName(part)
         texts = materialize(texts, "texts")
         windows = materialize(_matching_windows(texts, self.width), "windows")
@@ -296,7 +298,8 @@ def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     column follows the text. Rows with a null doc_id stay unchanged.
     """
     done = materialize(in_batches(docs, batches, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("kept__"), "n_words", "n_removed").distinct(), "repeats")
-    joined = docs.join(done, "doc_id", "left").where("kept__ is null or n_removed < n_words")
+    may, surely = sifted(docs, done.select("doc_id"))
+    joined = may.join(done.hint("merge"), "doc_id", "left").where("kept__ is null or n_removed < n_words")
     text = F.coalesce("kept__", "text")
     new = {"text": text} | ({"n_chars": F.when(F.col("kept__").isNull(), F.col("n_chars")).otherwise(F.char_length("kept__").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return surely.unionByName(joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns)))

@@ -11,28 +11,33 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 #: Words and pieces that a process remembers at most, each.
-CACHE = 600_000
+CACHE = 150_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         self.fast = self._is_word_bpe(spec)
         if self.fast:
             self._prepare(spec, path)
 
+    @cached_property
+    def full(self):
+        """The file's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _is_word_bpe(spec: dict) -> bool:
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", ())]
