@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, Words, chunks, inside_document, xxh64
+from .bytetext import LOWER, Words, chunks, inside_document, mix, xxh64
 from .components import connected_components, forest
-from .shared import discard, materialize, text_or_empty
+from .shared import discard, materialize, text_or_empty, with_ids, without_ids
 
 SEED, SEGMENTS = 42, 32
 #: Points of a cell that one part holds.
@@ -32,9 +32,12 @@ CELL = 4096
 _EVEN = np.uint64(0x5555555555555555)
 
 
-def fingerprints(texts: pa.Array, width: int = 4) -> np.ndarray:
-    """SimHash of each text: ASCII lower case, shingles of ``width`` words with repeats, XXH64 with seed 42."""
-    out = np.zeros(len(texts), np.uint64)
+def fingerprints(texts: pa.Array, width: int = 4, salts: int = 1) -> np.ndarray:
+    """SimHash of each text: ASCII lower case, shingles of ``width`` words with repeats, XXH64 with seed 42.
+
+    One column for each salt; those after the first are of scrambled shingle hashes, independent of it.
+    """
+    out = np.zeros((len(texts), salts), np.uint64)
     for row, end, data, off in chunks(texts):
         words = Words(data, off)
         body, start, stop = words.joined(LOWER)
@@ -48,32 +51,43 @@ def fingerprints(texts: pa.Array, width: int = 4) -> np.ndarray:
         doc = doc[order]
         a = np.concatenate([start[at], start[words.bound[short]]])[order]
         b = np.concatenate([stop[at + width - 1], stop[words.bound[short + 1] - 1]])[order]
-        ones = np.zeros((end - row, 64), np.int64)
+        ones = np.zeros((salts, end - row, 64), np.int64)
         for i in range(0, len(doc), 1 << 16):
             d = doc[i : i + (1 << 16)]
             h = xxh64(body, a[i : i + (1 << 16)], b[i : i + (1 << 16)], SEED)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            for x, y in zip(first, np.r_[first[1:], len(d)], strict=True):
-                ones[d[x]] += bits[x:y].sum(0, dtype=np.int32) if y - x < 256 else np.add.reduce(bits[x:y], 0, dtype=np.int64)
+            spans = list(zip(first, np.r_[first[1:], len(d)], strict=True))
+            for s in range(salts):
+                g = h if not s else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+                bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                for x, y in spans:
+                    ones[s, d[x]] += bits[x:y].sum(0, dtype=np.int32)
         total = np.bincount(doc, minlength=end - row)
-        out[row:end] = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        for s in range(salts):
+            out[row:end, s] = np.packbits(2 * ones[s] > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp bigint) of every row; a null text has no words and the fingerprint zero."""
+def columns(salts: int) -> list[str]:
+    """Names of the fingerprint columns."""
+    return ["fp", *(f"fp{s}" for s in range(1, salts))]
+
+
+def with_fingerprint(docs: DataFrame, width: int = 4, salts: int = 1) -> DataFrame:
+    """(doc_id, fp, …) of every row; a null text has no words and the fingerprint zero."""
+    names = columns(salts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(fingerprints(b.column(1), width).view(np.int64))], ["doc_id", "fp"])
+            prints = fingerprints(b.column(1), width, salts).view(np.int64)
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(prints[:, s])) for s in range(salts))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def grid_cells(fp: np.ndarray, blocks: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, fingerprint, is home): the home cell of each block and the positive side of those around it."""
-    fp = fp.view(np.uint64)
+def grid_cells(fp: np.ndarray, blocks: int, reach: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, position in ``fp``, is home): the home cell of each block and the positive side of those around it."""
+    fp, place = fp.view(np.uint64), np.arange(len(fp))
     low, high = fp & _EVEN, (fp >> np.uint64(1)) & _EVEN
     counts = (low ^ high) | ((low & high) << np.uint64(1))
     cells, points, home = [], [], []
@@ -86,24 +100,29 @@ def grid_cells(fp: np.ndarray, blocks: int, reach: int) -> tuple[np.ndarray, np.
     for block, segments in enumerate(np.array_split(np.arange(SEGMENTS), blocks)):
         digit = [((counts >> np.uint64(2 * s)) & np.uint64(3)).astype(np.int8) for s in segments]
         unit = [np.int64(1) << (2 * i) for i in range(len(segments))]
-        own = sum(d.astype(np.int64) * u for d, u in zip(digit, unit, strict=True)) | (np.int64(block) << 58)
-        put(own, fp, True)
+        own = sum(d.astype(np.int64) * u for d, u in zip(digit, unit, strict=True)) | (np.int64(block) << 58) | (np.int64(salt) << 50)
+        put(own, place, True)
         for i, d in enumerate(digit):
             for step in range(1, reach + 1):
                 ok = d + step <= 2
-                put(own[ok] + step * unit[i], fp[ok], False)
+                put(own[ok] + step * unit[i], place[ok], False)
             if reach == 2:
                 for j in range(i + 1, len(segments)):
                     for sign, near in ((1, digit[j] < 2), (-1, digit[j] > 0)):
                         ok = (d < 2) & near
-                        put(own[ok] + unit[i] + sign * unit[j], fp[ok], False)
-    return np.concatenate(cells), np.concatenate(points).view(np.int64), np.concatenate(home)
+                        put(own[ok] + unit[i] + sign * unit[j], place[ok], False)
+    return np.concatenate(cells), np.concatenate(points), np.concatenate(home)
+
 
+def links_of_units(unit: np.ndarray, home: np.ndarray, prints: list[np.ndarray], most: int, near: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within units of rows: at most ``most`` differing bits over all fingerprints, and at
+    most ``near`` in one of them.
 
-def links_of_units(unit: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links (Hamming distance at most ``most``) within units of sorted rows."""
+    Nodes are the first fingerprints.
+    """
     order = np.lexsort((~home, unit))
-    unit, fp, home = unit[order], fp[order], home[order]
+    unit, home, prints = unit[order], home[order], [p[order] for p in prints]
+    fp = prints[0]
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]) if len(unit) else np.zeros(0, int)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(unit)) - 1
     live = np.flatnonzero(home & (left > 0))
@@ -111,8 +130,9 @@ def links_of_units(unit: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int
     while len(live):
         d += 1
         live = live[left[live] >= d]
-        x = fp[live] ^ fp[live + d]
-        hit = live[(np.bitwise_count(x.view(np.uint64)) <= most) & (x != 0)]  # of a signed value it would count the magnitude
+        # Counts are of unsigned values: of a signed one numpy counts the magnitude.
+        apart = np.stack([np.bitwise_count((p[live] ^ p[live + d]).view(np.uint64)) for p in prints])
+        hit = live[(apart.sum(0, dtype=np.int16) <= most) & (apart.min(0) <= near) & (fp[live] != fp[live + d])]
         if len(hit):
             u.append(fp[hit])
             v.append(fp[hit + d])
@@ -123,27 +143,34 @@ def links_of_units(unit: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int
     return forest(np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
 
 
-def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that join all those linked within ``most`` bits.
+def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1) -> DataFrame:
+    """Edges (u, v) between first fingerprints that connect all points linked within ``most`` bits in all.
 
-    Every two fingerprints at most ``most`` bits apart are connected by the edges; not every pair is one.
+    The grid finds every pair of which one fingerprint differs by at most ``blocks * (reach + 1) - 1`` bits; with
+    several fingerprints that is part of what a link is, with one ``most`` must not be above it.
     """
-    if blocks * (reach + 1) - 1 < most or reach not in (0, 1, 2):
+    near = blocks * (reach + 1) - 1
+    if (near < most and salts == 1) or reach not in (0, 1, 2):
         raise ValueError(f"{blocks} blocks of reach {reach} do not cover {most} bits")
+    names = columns(salts)
+    schema = "cell bigint, home boolean, " + ", ".join(f"{n} bigint" for n in names)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 8192):
-                fp = b.column(0).slice(at, 8192).to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(x) for x in grid_cells(fp, blocks, reach)], ["cell", "fp", "home"])
+                prints = [b.column(s).slice(at, 8192).to_numpy(zero_copy_only=False) for s in range(salts)]
+                for s in range(salts):
+                    cell, who, home = grid_cells(prints[s], blocks, reach, s)
+                    yield pa.record_batch([pa.array(cell), pa.array(home), *(pa.array(p[who]) for p in prints)], ["cell", "home", *names])
 
-    spread = materialize(points.select("fp").mapInArrow(cells, "cell bigint, fp bigint, home boolean"), "cells")
+    # Made twice, as it is cheap to make and many times the size of the points.
+    spread = points.select(names).mapInArrow(cells, schema)
     crowded = spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(CELL)), F.lit(1)).cast("int")
     dealt = (
         spread.join(crowded, "cell", "left")
-        .select("cell", "fp", "home", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
-        .select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "fp", "home")
+        .select("cell", "home", *names, F.pmod(F.xxhash64(*names), parts).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
+        .select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "home", *names)
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +178,10 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
         rows = 0
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x) for x in links_of_units(*cols, most)], ["u", "v"])
+            return pa.record_batch([pa.array(x) for x in links_of_units(cols[0], cols[1], cols[2:], most, near)], ["u", "v"])
 
         for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + salts)])
             rows += b.num_rows
             if rows < 1 << 17:
                 continue
@@ -168,26 +195,27 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     found = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(find, "u bigint, v bigint")
-    links = materialize(found, "links")
-    discard(spread)
-    return links
+    return materialize(found, "links")
 
 
-def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are left out).
 
     component_id: the smallest doc_id among all rows that links reach. Rows with a null doc_id take part
     and get the group's smallest id that is not null, or null. Null, empty and word-less texts have the
     fingerprint zero and form links like any others. Repeated rows come out as often as they come in.
     """
-    prints = materialize(with_fingerprint(docs, width), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    links = fingerprint_links(points, most, blocks, reach)
+    names = columns(salts)
+    prints = materialize(with_fingerprint(docs, width, salts), "fingerprints")
+    all_points = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "points")
+    links = fingerprint_links(all_points, most, blocks, reach, salts)
+    # Rows of equal first fingerprints belong together.
+    points = all_points if salts == 1 else all_points.groupBy("fp").agg(F.min("rep").alias("rep"))
     roots = connected_components(links)
     grouped = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(grouped.join(least, "root").select("fp", "component_id"), "groups")
-    discard(points)
+    discard(all_points)
     discard(links)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -203,6 +231,7 @@ def keep_one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     Rows with a null doc_id cannot stand for a group and are kept as they are.
     """
     groups = near_duplicate_groups(docs.where("doc_id is not null"), **how)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ids = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
+    once = without_ids(docs, ids.where("doc_id <> component_id or n > 1").select("doc_id"))
+    again = with_ids(docs, ids.where("doc_id = component_id and n > 1").select("doc_id")).dropDuplicates(["doc_id"])
+    return once.unionByName(again)

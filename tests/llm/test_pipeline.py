@@ -12,8 +12,8 @@ from flowgrain.llm.tokens import encoder
 
 
 def brute_groups(rows):
-    """doc_id kept of each group of fingerprints within seven bits (five-word shingles)."""
-    fp = simhash.fingerprints(pa.array([t for _, t in rows]), 5)
+    """doc_id kept of each group of the stage's links, over all pairs (five-word shingles)."""
+    fp = simhash.fingerprints(pa.array([t for _, t in rows]), 5, 4)
     root = list(range(len(rows)))
 
     def find(x):
@@ -22,7 +22,8 @@ def brute_groups(rows):
         return x
 
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 7):
+        apart = np.bitwise_count(fp[:i] ^ fp[i]).astype(int)
+        for j in np.flatnonzero((apart.sum(1) <= 42) & (apart.min(1) <= 7)):
             root[find(int(j))] = find(i)
     groups = {}
     for i, (d, _) in enumerate(rows):
