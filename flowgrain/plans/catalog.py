@@ -492,9 +492,9 @@ def rbm_energy(spark, d):
 
 
 # Online.
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS avg FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS avg FROM events")
 def online_mean(spark, d):
-    return online.running_mean(events(spark, d), "us", "user_id").select("event_id", r(F.get("avg", F.lit(0)), 4).alias("avg"))
+    return online.running_mean(events(spark, d), "us", "user_id").select("event_id", r(F.get("avg", F.lit(0)), 9).alias("avg"))
 
 
 @query("SELECT event_id, round(value - lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY ts), 6) + 0.0 AS y0 FROM events")

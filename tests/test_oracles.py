@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 from decimal import Decimal
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 from flowgrain.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -23,7 +24,7 @@ def plain(v):
     if isinstance(v, Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     return v.isoformat() if isinstance(v, datetime.datetime) else v
 
 
