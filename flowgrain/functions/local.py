@@ -109,3 +109,17 @@ def size_in_bytes(node) -> int:
 def matmul(a: np.ndarray, b: np.ndarray, alpha: float = 1.0, beta: float = 0.0, c: np.ndarray | None = None, trans_a: bool = False, trans_b: bool = False) -> np.ndarray:
     out = alpha * ((a.T if trans_a else a) @ (b.T if trans_b else b))
     return out if c is None else out + beta * c
+
+
+def pca(df, **how):
+    """The rows projected on the principal components of themselves."""
+    from ..operators.decomposition import PCA
+
+    return PCA(**how).fit_transform(df)
+
+
+def fastica(df, **how):
+    """The rows' independent components."""
+    from ..operators.ica import FastICA
+
+    return FastICA(**how).fit_transform(df)

@@ -383,6 +383,14 @@ class GSFA(SFA):
             ends = df.withColumn("b__", F.floor(i / F.lit(size))).where((F.col("b__") == 0) | (F.col("b__") == (n - 1) // size))
             g.merge(graph_moments(ends, "clustered", self.order, self.column, block="b__"), 2.0)
             return g
+        if mode == "dual_serial":  # serial by order, and with the second pass's weight serial by label
+            g = graph_moments(df, "serial", self.order, self.column, block_size=how["block_size"])
+            if how.get("label_weight", 0.0):
+                by = df.withColumn("b__", F.ntile(how["blocks"]).over(Window.orderBy(how.get("label", "label"), self.order)))
+                g.merge(graph_moments(by, "serial", self.order, self.column, block="b__"), how["label_weight"])
+            return g
+        if mode == "ignore_data":
+            return GraphMoments(width_of(df, self.column))
         if mode == "compact_classes":  # each bit of the row's block number is a two-class problem
             n = df.count()
             size = how["block_size"]

@@ -107,5 +107,35 @@ def weighted_time_moments(df: DataFrame, time: str, chunk: str | None = None, co
     return now + before
 
 
-def symmetrized(covariances: list[np.ndarray]) -> list[np.ndarray]:
-    return [(c + c.T) / 2 for c in covariances]
+class LaggedCovariances:
+    """A stack of lagged covariances that are made symmetric, weighted, rotated, permuted or transformed together."""
+
+    def __init__(self, covs):
+        self.covs = np.array(covs, float)
+
+    @classmethod
+    def of(cls, df: DataFrame, lags: list[int], order: str, chunk: str | None = None, column: str = "x") -> LaggedCovariances:
+        return cls([delay_covariance(df, k, order, chunk, column) for k in lags])
+
+    def symmetrize(self) -> LaggedCovariances:
+        return LaggedCovariances((self.covs + self.covs.transpose(0, 2, 1)) / 2)
+
+    def weight(self, weights) -> LaggedCovariances:
+        return LaggedCovariances(self.covs * np.asarray(weights, float)[:, None, None])
+
+    def transform(self, m: np.ndarray) -> LaggedCovariances:
+        """Mᵀ C M of each."""
+        return LaggedCovariances(np.einsum("ai,kab,bj->kij", m, self.covs, m))
+
+    def rotate(self, angle: float, axes: tuple[int, int]) -> LaggedCovariances:
+        """A Givens rotation of two axes, from both sides."""
+        g = np.eye(self.covs.shape[1])
+        i, j = axes
+        g[i, i] = g[j, j] = np.cos(angle)
+        g[i, j], g[j, i] = -np.sin(angle), np.sin(angle)
+        return self.transform(g)
+
+    def permute(self, axes: tuple[int, int]) -> LaggedCovariances:
+        order = list(range(self.covs.shape[1]))
+        order[axes[0]], order[axes[1]] = order[axes[1]], order[axes[0]]
+        return LaggedCovariances(self.covs[:, order][:, :, order])

@@ -338,6 +338,18 @@ def test_column_helpers(spark):
     assert np.allclose(jac, [[1, 0], [0, 1], [4, 0], [3, 2], [0, 6]], atol=1e-6)
 
 
+def test_lagged_stack_and_shortcuts(mixed):
+    x, df = mixed
+    c = timeops.LaggedCovariances.of(df, [0, 2], "t")
+    y = x - x[:-2].mean(0)
+    assert np.allclose(c.covs[0], np.cov(x.T)) and np.allclose(c.covs[1], (x[:-2] - x[:-2].mean(0)).T @ (x[2:] - x[2:].mean(0)) / (len(y) - 3))
+    s = c.symmetrize().weight([1, 0.5])
+    assert np.allclose(s.covs, s.covs.transpose(0, 2, 1)) and np.allclose(s.rotate(0.3, (0, 2)).rotate(-0.3, (0, 2)).covs, s.covs)
+    assert np.allclose(s.permute((0, 1)).permute((0, 1)).covs, s.covs)
+    assert np.allclose(mat(local.pca(df)), mat(decomposition.PCA().fit_transform(df)))
+    assert slow.GSFA([("dual_serial", {"block_size": 40}), ("ignore_data", {})], 2, "t").fit(df).sf.shape == (3, 2)
+
+
 def test_sources_round_trip(spark, mixed, tmp_path):
     x, df = mixed
     for kind in ("parquet", "orc", "json"):
