@@ -47,6 +47,19 @@ def parts(column: Column | str, n: int) -> list[Column]:
     return [F.get(c, F.lit(i)) for i in range(n)]
 
 
+def opaque(columns: Sequence[Column]) -> Column:
+    """An array that the optimizer does not look into.
+
+    A plain array of expressions is taken apart again where the next stage reads its elements, so that the expressions of
+    a chain of stages multiply; this one is computed once a row, in generated code.
+    """
+    columns = list(columns)
+    if len(columns) < 3:
+        return F.array(*columns)
+    half = len(columns) // 2
+    return F.concat(F.array(*columns[:half]), F.array(*columns[half:]))
+
+
 def total(terms: Sequence[Column]) -> Column:
     """A balanced sum, so that wide sums don't nest deeply."""
     terms = list(terms)
@@ -73,7 +86,7 @@ def affine(column: str | Column, w: np.ndarray, b: np.ndarray | None = None) ->
     b = np.zeros(w.shape[1]) if b is None else np.asarray(b, float)
     if w.size <= UNROLL:
         x = parts(column, w.shape[0])
-        return F.array(*[total([x[i] * F.lit(float(w[i, j])) for i in range(len(x))] + [F.lit(float(b[j]))]) for j in range(w.shape[1])])
+        return opaque([total([x[i] * F.lit(float(w[i, j])) for i in range(len(x))] + [F.lit(float(b[j]))]) for j in range(w.shape[1])])
     return batch_udf(lambda m: m @ w + b)(column)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Node, TrainingError, batch_udf, parts, total, width_of
+from ..core import Node, TrainingError, batch_udf, opaque, parts, total, width_of
 
 
 def monomials_of_degree(degree: int, variables: int) -> int:
@@ -59,7 +59,7 @@ class PolynomialExpansion(_Wide):
         made: dict[tuple[int, ...], Column] = {}
         for t in terms:
             made[t] = p[t[0]] if len(t) == 1 else made[t[:-1]] * p[t[-1]]
-        return F.array(*[made[t] for t in terms])
+        return opaque([made[t] for t in terms])
 
 
 class QuadraticExpansion(PolynomialExpansion):
@@ -212,7 +212,7 @@ class RecursiveExpansion(_Wide):
                 for g in factors[1:]:
                     c = c * g
                 out.append(c)
-        return F.array(*out)
+        return opaque(out)
 
 
 class NormalizingRecursiveExpansion(RecursiveExpansion):
