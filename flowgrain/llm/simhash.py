@@ -11,6 +11,9 @@ the Hamming distance is computed exactly.
 What keeps it bounded: equal fingerprints are one point; a cell with more than ``CELL`` points is
 dealt out as pairs of parts, each of which is a task's unit of bounded size; a unit returns a
 spanning forest of its links and never all its pairs.
+
+With a ``similarity``, what fingerprints link are only candidates: the documents of each group that they connect
+are compared by their shingles themselves, all with all, and only pairs of that Jaccard similarity are links.
 """
 
 from __future__ import annotations
@@ -24,43 +27,75 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, xxh64
 from .components import connected_components, forest
-from .shared import discard, materialize, text_or_empty, with_ids, without_ids
+from .shared import discard, materialize, sifted, text_or_empty, with_ids, without_ids
 
 SEED, SEGMENTS = 42, 32
 #: Points of a cell that one part holds.
 CELL = 4096
+#: Documents of a candidate group that one part holds, and shingles that are counted at once.
+PART, STRIPE = 256, 4096
 _EVEN = np.uint64(0x5555555555555555)
 
 
-def fingerprints(texts: pa.Array, width: int = 4, salts: int = 1) -> np.ndarray:
+def _shingles(words: Words, width: int) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """The document of each shingle, in order, and (position, hashes) of runs of them."""
+    body, start, stop = words.joined(LOWER)
+    if not len(words):
+        return np.zeros(0, np.int64), iter(())
+    at = np.flatnonzero(inside_document(words, width))
+    count = np.diff(words.bound)
+    short = np.flatnonzero((count > 0) & (count < width))
+    doc = np.concatenate([words.doc[at], short])
+    order = np.argsort(doc, kind="stable")
+    a = np.concatenate([start[at], start[words.bound[short]]])[order]
+    b = np.concatenate([stop[at + width - 1], stop[words.bound[short + 1] - 1]])[order]
+    return doc[order], ((i, xxh64(body, a[i : i + (1 << 16)], b[i : i + (1 << 16)], SEED)) for i in range(0, len(doc), 1 << 16))
+
+
+def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each distinct shingle of each document, sorted."""
+    doc, runs = _shingles(words, width)
+    h = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in runs)])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[first], h[first]
+
+
+def digests(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """One number for each document's set of shingles; documents of one number have the same set."""
+    at = np.searchsorted(doc, np.arange(n + 1))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
+    return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
+
+
+def fingerprints(texts: pa.Array, width: int = 4, salts: int = 1, once: bool = False) -> np.ndarray:
     """SimHash of each text: ASCII lower case, shingles of ``width`` words with repeats, XXH64 with seed 42.
 
-    One column for each salt; those after the first are of scrambled shingle hashes, independent of it.
+    One column for each salt; those after the first are of scrambled shingle hashes, independent of it. ``once``
+    takes each shingle of a text once, and puts the digest of their set into a last column.
     """
-    out = np.zeros((len(texts), salts), np.uint64)
+    out = np.zeros((len(texts), salts + once), np.uint64)
     for row, end, data, off in chunks(texts):
         words = Words(data, off)
-        body, start, stop = words.joined(LOWER)
-        if not len(words):
+        if once:
+            doc, h = shingle_sets(words, width)
+            out[row:end, salts] = digests(doc, h, end - row)
+            runs = ((i, h[i : i + (1 << 16)]) for i in range(0, len(h), 1 << 16))
+        else:
+            doc, runs = _shingles(words, width)
+        if not len(doc):
             continue
-        at = np.flatnonzero(inside_document(words, width))
-        count = np.diff(words.bound)
-        short = np.flatnonzero((count > 0) & (count < width))
-        doc = np.concatenate([words.doc[at], short])
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        a = np.concatenate([start[at], start[words.bound[short]]])[order]
-        b = np.concatenate([stop[at + width - 1], stop[words.bound[short + 1] - 1]])[order]
         ones = np.zeros((salts, end - row, 64), np.int64)
-        for i in range(0, len(doc), 1 << 16):
+        for i, h in runs:
             d = doc[i : i + (1 << 16)]
-            h = xxh64(body, a[i : i + (1 << 16)], b[i : i + (1 << 16)], SEED)
             first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            spans = list(zip(first, np.r_[first[1:], len(d)], strict=True))
             for s in range(salts):
                 g = h if not s else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 & (2**64 - 1)))
                 bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                for x, y in spans:
+                for x, y in zip(first, np.r_[first[1:], len(d)], strict=True):
                     ones[s, d[x]] += bits[x:y].sum(0, dtype=np.int32)
         total = np.bincount(doc, minlength=end - row)
         for s in range(salts):
@@ -73,14 +108,14 @@ def columns(salts: int) -> list[str]:
     return ["fp", *(f"fp{s}" for s in range(1, salts))]
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4, salts: int = 1) -> DataFrame:
-    """(doc_id, fp, …) of every row; a null text has no words and the fingerprint zero."""
-    names = columns(salts)
+def with_fingerprint(docs: DataFrame, width: int = 4, salts: int = 1, once: bool = False) -> DataFrame:
+    """(doc_id, fp, …) of every row, with ``once`` also its ``digest``; a null text has no words and the fingerprint zero."""
+    names = columns(salts) + ["digest"] * once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = fingerprints(b.column(1), width, salts).view(np.int64)
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(prints[:, s])) for s in range(salts))], ["doc_id", *names])
+            prints = fingerprints(b.column(1), width, salts, once).view(np.int64)
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(p)) for p in prints.T)], ["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
@@ -114,15 +149,15 @@ def grid_cells(fp: np.ndarray, blocks: int, reach: int, salt: int = 0) -> tuple[
     return np.concatenate(cells), np.concatenate(points), np.concatenate(home)
 
 
-def links_of_units(unit: np.ndarray, home: np.ndarray, prints: list[np.ndarray], most: int, near: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def links_of_units(unit: np.ndarray, home: np.ndarray, prints: list[np.ndarray], most: int, near: int = 64, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within units of rows: at most ``most`` differing bits over all fingerprints, and at
     most ``near`` in one of them.
 
-    Nodes are the first fingerprints.
+    Nodes are the first fingerprints unless they are given.
     """
     order = np.lexsort((~home, unit))
     unit, home, prints = unit[order], home[order], [p[order] for p in prints]
-    fp = prints[0]
+    fp = prints[0] if node is None else node[order]
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]) if len(unit) else np.zeros(0, int)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(unit)) - 1
     live = np.flatnonzero(home & (left > 0))
@@ -143,29 +178,36 @@ def links_of_units(unit: np.ndarray, home: np.ndarray, prints: list[np.ndarray],
     return forest(np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
 
 
-def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1) -> DataFrame:
+def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1, node: str | None = None) -> DataFrame:
     """Edges (u, v) between first fingerprints that connect all points linked within ``most`` bits in all.
 
     The grid finds every pair of which one fingerprint differs by at most ``blocks * (reach + 1) - 1`` bits; with
-    several fingerprints that is part of what a link is, with one ``most`` must not be above it.
+    several fingerprints that is part of what a link is, with one ``most`` must not be above it. With a column
+    ``node``, edges are between its values; all pairs that meet in a cell of a fingerprint and differ in at most ``most``
+    bits of it and the next two are linked. Only these three travel with the cell: the rest would be most of the shuffle.
     """
     near = blocks * (reach + 1) - 1
     if (near < most and salts == 1) or reach not in (0, 1, 2):
         raise ValueError(f"{blocks} blocks of reach {reach} do not cover {most} bits")
-    names = columns(salts)
+    own = columns(salts)
+    names = own if node is None else ["p0", "p1", "p2", node]
     schema = "cell bigint, home boolean, " + ", ".join(f"{n} bigint" for n in names)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 8192):
-                prints = [b.column(s).slice(at, 8192).to_numpy(zero_copy_only=False) for s in range(salts)]
+                prints = [c.slice(at, 8192).to_numpy(zero_copy_only=False) for c in b.columns]
                 for s in range(salts):
                     cell, who, home = grid_cells(prints[s], blocks, reach, s)
-                    yield pa.record_batch([pa.array(cell), pa.array(home), *(pa.array(p[who]) for p in prints)], ["cell", "home", *names])
+                    taken = prints if node is None else [*(prints[(s + i) % salts] for i in range(3)), prints[-1]]
+                    yield pa.record_batch([pa.array(cell), pa.array(home), *(pa.array(p[who]) for p in taken)], ["cell", "home", *names])
 
     # Made twice, as it is cheap to make and many times the size of the points.
-    spread = points.select(names).mapInArrow(cells, schema)
+    spread = points.select(own if node is None else [*own, node]).mapInArrow(cells, schema)
     crowded = spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    if node is not None:
+        # At most one cell for each CELL rows; the rows then are shuffled once only.
+        crowded = F.broadcast(crowded)
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(CELL)), F.lit(1)).cast("int")
     dealt = (
         spread.join(crowded, "cell", "left")
@@ -178,10 +220,11 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
         rows = 0
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x) for x in links_of_units(cols[0], cols[1], cols[2:], most, near)], ["u", "v"])
+            found = links_of_units(*cols[:2], cols[2:], most, near) if node is None else links_of_units(*cols[:2], cols[2:-1], most, node=cols[-1])
+            return pa.record_batch([pa.array(x) for x in found], ["u", "v"])
 
         for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + salts)])
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + len(names))])
             rows += b.num_rows
             if rows < 1 << 17:
                 continue
@@ -198,26 +241,113 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
     return materialize(found, "links")
 
 
-def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1) -> DataFrame:
+def similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of documents whose sets of hashes have that Jaccard similarity, by exact counts."""
+    node, first = np.unique(node, return_index=True)
+    size = np.array([len(sets[i]) for i in first])
+    who = np.repeat(np.arange(len(node)), size)
+    h = np.concatenate([sets[i] for i in first])
+    order = np.argsort(h, kind="stable")
+    who, new = who[order], np.diff(h[order], prepend=~h[order[:1]]) != 0
+    rank = np.cumsum(new) - 1
+    # A shingle of one document adds to no intersection.
+    keep = np.bincount(rank)[rank] > 1
+    who, rank = who[keep], rank[keep]
+    rank = np.cumsum(np.diff(rank, prepend=-1) != 0) - 1
+    shared = np.zeros((len(node), len(node)), np.float32)
+    for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, STRIPE):
+        low, high = np.searchsorted(rank, [at, at + STRIPE])
+        has = np.zeros((len(node), min(STRIPE, int(rank[-1]) + 1 - at)), np.float32)
+        has[who[low:high], rank[low:high] - at] = 1
+        shared += has @ has.T
+    u, v = np.nonzero(np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-3, 1))
+    return forest(node[u], node[v])
+
+
+def verified_links(docs: DataFrame, points: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between digests that connect all documents of that Jaccard similarity within the groups of ``links``.
+
+    A group of more than ``PART`` documents is dealt out as pairs of parts, so a task's unit holds two parts.
+    """
+    roots = materialize(connected_components(links), "candidates")
+    # The root has no row of its own.
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    parts = roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / F.lit(PART)).cast("int").alias("parts"))
+    reps = materialize(nodes.join(points, F.col("node") == F.col("digest")).select("rep", "node", "root").join(parts, "root"), "reps")
+    may, _ = sifted(docs.select("doc_id", "text"), reps.select("rep"))
+    texts = may.join(reps.hint("merge"), F.col("doc_id").cast("bigint") == F.col("rep")).select("node", "root", "parts", text_or_empty())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            for row, end, data, off in chunks(b.column(3)):
+                doc, h = shingle_sets(Words(data, off), width)
+                at = np.searchsorted(doc, np.arange(end - row + 1))
+                # Another text of the same doc_id has another digest.
+                own = pa.array(digests(doc, h, end - row).view(np.int64) == node[row:end])
+                cols = [*(b.column(i).slice(row, end - row) for i in range(3)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))]
+                yield pa.record_batch([c.filter(own) for c in cols], ["node", "root", "parts", "h"])
+
+    known = texts.mapInArrow(sets, "node bigint, root bigint, parts int, h array<bigint>")
+    a = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = known.select("node", "h", "root", a.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
+    dealt = dealt.select(F.xxhash64("root", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "node", "h")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, node, held = None, [], []
+        u, v = [], []
+
+        def close() -> None:
+            if len(node) > 1:
+                a, b = similar(np.array(node, np.int64), held, similarity)
+                u.append(a)
+                v.append(b)
+
+        for batch in batches:
+            lists = batch.column(2)
+            at, h = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, (own, who) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != unit:
+                    close()
+                    unit, node, held = own, [], []
+                node.append(who)
+                held.append(h[at[i] : at[i + 1]].copy())
+            if u:
+                yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+                u, v = [], []
+        close()
+        if u:
+            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    return materialize(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "u bigint, v bigint"), "verified")
+
+
+def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are left out).
 
     component_id: the smallest doc_id among all rows that links reach. Rows with a null doc_id take part
-    and get the group's smallest id that is not null, or null. Null, empty and word-less texts have the
-    fingerprint zero and form links like any others. Repeated rows come out as often as they come in.
+    and get the group's smallest id that is not null, or null (with a ``similarity`` they must be left out).
+    Null, empty and word-less texts have the fingerprint zero and form links like any others. Repeated rows
+    come out as often as they come in.
     """
     names = columns(salts)
-    prints = materialize(with_fingerprint(docs, width, salts), "fingerprints")
-    all_points = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "points")
-    links = fingerprint_links(all_points, most, blocks, reach, salts)
+    exact = similarity is not None
+    node = "digest" if exact else "fp"
+    prints = materialize(with_fingerprint(docs, width, salts, exact), "fingerprints")
+    all_points = materialize(prints.groupBy(*names, *["digest"] * exact).agg(F.min("doc_id").alias("rep")), "points")
+    links = fingerprint_links(all_points, most, blocks, reach, salts, "digest" if exact else None)
+    if exact:
+        candidates, links = links, verified_links(docs, all_points, links, width, similarity)
+        discard(candidates)
     # Rows of equal first fingerprints belong together.
-    points = all_points if salts == 1 else all_points.groupBy("fp").agg(F.min("rep").alias("rep"))
+    points = all_points if salts == 1 or exact else all_points.groupBy("fp").agg(F.min("rep").alias("rep"))
     roots = connected_components(links)
-    grouped = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    grouped = points.join(roots, F.col(node) == F.col("node"), "left").select(F.col(node).alias("node"), "rep", F.coalesce("root", F.col(node)).alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select("fp", "component_id"), "groups")
+    named = materialize(grouped.join(least, "root").select(F.col("node").alias(node), "component_id"), "groups")
     discard(all_points)
     discard(links)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, node).select("doc_id", "fp", "component_id")
 
 
 def op3(docs: DataFrame) -> DataFrame:
