@@ -1,14 +1,17 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Distances are counted in words (ASCII letters folded, signs and white space between words ignored). Candidates
-come from locality-sensitive hashing: a random walk after Chakraborty, Goldenberg and Koucky maps a word
-sequence to one whose Hamming distance is close to the edit distance; the walk is taken over item-sized windows
-of the document and over the items, and windows that agree with an item at all of a few sampled positions in
-one of several repetitions are verified by exact edit distance. ``repetitions`` follows from the target recall.
+Distances are counted in words (ASCII letters folded, signs and white space between words ignored). A random walk
+after Chakraborty, Goldenberg and Koucky maps a word sequence to one whose Hamming distance is close to the edit
+distance; the walk is taken over item-sized windows of the document and over the items. Windows that agree with an
+item at all of a few sampled positions in one of several repetitions are verified first, by exact edit distance.
+
+Agreement under edits falls with their number and kind (a deletion shifts all that follows), so no fixed number of
+repetitions has a recall that holds for every item: windows that don't agree are verified too, unless an exact copy
+of their item was found. Nothing within the edit limit is lost.
 
 Walks over every window of every text would cost a few hundred steps for each word of the corpus, so
 windows are first thinned out without loss: within k edits, a window shares at least n - q + 1 - kq of its
-n - q + 1 runs of q words with the item, so only windows that hold as many run hits near each other are hashed.
+n - q + 1 runs of q words with the item, so only windows that hold as many run hits near each other are left.
 
 The items are the query set: they are read to the driver in blocks of at most ``BLOCK_BYTES`` of text and each
 block is sent to the executors with that bound; the documents are scanned once for each block, without a shuffle.
@@ -76,6 +79,22 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
     return int(row[best]), best
 
 
+def edit_distances(a: np.ndarray, rows: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`edit_distance` of a to each row (words, ``lengths`` of them, padded); most + 1 and 0 where it is above ``most``."""
+    steps = np.arange(rows.shape[1] + 1, dtype=np.int32)
+    beyond = steps > lengths[:, None]
+    row = np.tile(steps, (len(rows), 1))
+    for i, x in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, :-1] + (rows != x), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, 1) + steps
+    row[beyond] = most + 1
+    best = row.argmin(1)
+    distance = row[np.arange(len(rows)), best]
+    return np.minimum(distance, most + 1), np.where(distance <= most, best, 0)
+
+
 class Items:
     """A block of benchmark items, ready to be looked for in texts."""
 
@@ -187,6 +206,20 @@ class Items:
             out += [(row + d, i, s - first, h[s : min(last, s + n)]) for s in sorted(places)]
         return out
 
+    def _verify(self, i: int, windows: list[tuple[int, int, int, np.ndarray]], best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Put the nearest passages of item ``i`` among its windows into ``best``."""
+        k, lengths = int(self.k[i]), np.array([len(w[3]) for w in windows])
+        rows = np.zeros((len(windows), lengths.max()), np.uint64)
+        for x, w in enumerate(windows):
+            rows[x, : len(w[3])] = w[3]
+        distances, sizes = edit_distances(self.words[i], rows, lengths, k)
+        for x in np.flatnonzero(distances <= k).tolist():
+            row, _, start, _ = windows[x]
+            distance = int(distances[x])
+            have = best.get((row, i))
+            if have is None or (distance, start) < (have[2], have[0]):
+                best[row, i] = (start, int(sizes[x]), distance)
+
     def matches(self, windows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance): the nearest verified passage of each item in each document."""
         lengths = [len(self.words[w[1]]) for w in windows]
@@ -201,14 +234,16 @@ class Items:
                 keys = self._keys(rows, np.array([lengths[w] for w in some]))
                 agreed[some] = (keys == self.keys[[windows[w][1] for w in some]]).sum(1)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for w in np.argsort(-agreed, kind="stable")[: int((agreed > 0).sum())].tolist():
-            row, i, start, words = windows[w]
-            have = best.get((row, i))
-            if have and have[2] == 0:
-                continue
-            distance, length = edit_distance(self.words[i], words, int(self.k[i]))
-            if distance <= self.k[i] and (have is None or (distance, start) < (have[2], have[0])):
-                best[row, i] = (start, length, distance)
+        for some in (agreed > 0, agreed == 0):
+            by_item: dict[int, list[int]] = {}
+            for w in np.flatnonzero(some).tolist():
+                row, i, _, _ = windows[w]
+                if (row, i) not in best or best[row, i][2]:
+                    by_item.setdefault(i, []).append(w)
+            for i, own in by_item.items():
+                step = max(1, (1 << 20) // (len(self.words[i]) + int(self.k[i])))
+                for at in range(0, len(own), step):
+                    self._verify(i, [windows[w] for w in own[at : at + step]], best)
         return [(row, i, *found) for (row, i), found in best.items()]
 
 

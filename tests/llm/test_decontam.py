@@ -75,3 +75,30 @@ def test_walk_keeps_equal_texts_equal_and_edits_near():
     b = np.concatenate([b, rng.integers(1, 1 << 60, (1, 1)).astype(np.uint64)], 1)
     near = np.mean([(decontam.walk(a, 80, s) != decontam.walk(b, 80, s)).mean() for s in range(30)])
     assert (decontam.walk(a, 80, 3) == decontam.walk(a.copy(), 80, 3)).all() and near < 0.6
+
+
+def test_finds_every_copy_at_the_edit_limit(spark):
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for i, n in enumerate([15, 38, 40, 59, 60] * 3):
+        words, k = new(n), n // 5
+        items.append((i, " ".join(words)))
+        for what in range(12):
+            copy = list(words)
+            for at in sorted(rng.sample(range(1, n - 1), k), reverse=True):
+                kind = "dis"[what % 3]
+                copy[at : at + (kind != "i")] = [] if kind == "d" else new(1)
+            rows.append((100 * i + what, " ".join(new(rng.randint(0, 40)) + copy + new(70))))
+    got = {(r.doc_id, r.item_id) for r in decontam.op1(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(d, d // 100) for d, _ in rows}
+
+
+def test_distances_of_many_windows():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 5, 12).astype(np.uint64)
+    rows = rng.integers(0, 5, (200, 15)).astype(np.uint64)
+    rows[:100, :12] = np.where(rng.random((100, 12)) < 0.8, a, rows[:100, :12])
+    lengths = rng.integers(1, 16, 200)
+    many = decontam.edit_distances(a, rows, lengths, 4)
+    assert [tuple(x) for x in zip(*many, strict=True)] == [decontam.edit_distance(a, r[:n], 4) for r, n in zip(rows, lengths, strict=True)]
