@@ -1,5 +1,6 @@
-"""Locally linear embeddings. Neighbour lists come from a blocked join, weights are solved per row in parallel; the
-final eigenproblem has one row and column for each training row, so their number is limited (``most_rows``)."""
+"""Locally linear embeddings. The training rows are collected, and their neighbours, weights and the eigenproblem, which
+has one row and column for each of them, are solved on the driver, so their number is limited (``most_rows``). Any
+number of rows can then be transformed, each by its nearest training rows, in parallel."""
 
 from __future__ import annotations
 
@@ -55,8 +56,12 @@ class LLE(Node):
             m = x[ids] - x[i]
             v = np.linalg.solve(_regular(m @ m.T, self.r, d), np.ones(self.k))
             w[i, ids] = v / v.sum()
-        a = np.eye(len(x)) - w
-        _, v = np.linalg.eigh(a.T @ a)
+        # In place: each n × n matrix counts.
+        np.negative(w, out=w)
+        w.flat[:: len(x) + 1] += 1
+        a = w.T @ w
+        del w
+        _, v = np.linalg.eigh(a)
         self.train, self.embedding = x, v[:, 1 : d + 1] * np.sqrt(len(x))
 
     def _column(self, c):

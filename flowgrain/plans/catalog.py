@@ -642,14 +642,20 @@ def vartime_sfa(spark, d):
     return outputs(slow.VartimeSFA(2, "sec", "user_id").fit_transform(s), 2, ["event_id"])
 
 
+def _embedded(node: manifold.LLE, df: DataFrame) -> DataFrame:
+    """Every row embedded; a table above ``most_rows`` rows is fitted on that many of them, spread by a hash of the id."""
+    fit = df if df.count() <= node.most_rows else df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(node.most_rows)
+    return node.fit(fit.orderBy("vec_id")).transform(df)
+
+
 @query()
 def lle(spark, d):
-    return outputs(manifold.LLE(8, 2).fit_transform(vectors(spark, d, 4).orderBy("vec_id").limit(400)), 2, ["vec_id"])
+    return outputs(_embedded(manifold.LLE(8, 2), vectors(spark, d, 4)), 2, ["vec_id"])
 
 
 @query()
 def hlle(spark, d):
-    return outputs(manifold.HLLE(10, 2).fit_transform(vectors(spark, d, 4).orderBy("vec_id").limit(400)), 2, ["vec_id"])
+    return outputs(_embedded(manifold.HLLE(10, 2), vectors(spark, d, 4)), 2, ["vec_id"])
 
 
 @query()
@@ -682,7 +688,7 @@ def perceptron(spark, d):
 @query()
 def hopfield_recall(spark, d):
     df = vectors(spark, d, 8).withColumn("x", F.transform("x", lambda v: v > 0))
-    node = classifiers.Hopfield().fit(df.orderBy("vec_id").limit(3))
+    node = classifiers.Hopfield().fit(df)
     return node.label(df, "said").select("vec_id", "said")
 
 

@@ -358,3 +358,20 @@ def test_sources_round_trip(spark, mixed, tmp_path):
     tables.write(df, str(tmp_path / "csv"), "csv")
     back = tables.read(spark, str(tmp_path / "csv"), ["x0", "x1", "x2"], "csv", keep=["t"]).withColumn("t", F.col("t").cast("bigint"))
     assert np.allclose(mat(back), x)
+
+
+def test_queries_embed_and_learn_all_rows(spark, monkeypatch):
+    from flowgrain.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    ids = sorted(r[0] for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id").collect())
+    assert len(ids) > 400
+    for name in ("lle", "hlle"):
+        assert sorted(r.vec_id for r in catalog.queries()[name](spark, d).collect()) == ids
+    few = manifold.LLE(8, 2, most_rows=100)
+    assert catalog._embedded(few, catalog.vectors(spark, d, 4)).count() == len(ids) and len(few.train) == 100
+    learnt = []
+    fit = classifiers.Hopfield._fit
+    monkeypatch.setattr(classifiers.Hopfield, "_fit", lambda node, df: (fit(node, df), learnt.append(node.patterns))[0])
+    catalog.queries()["hopfield_recall"](spark, d)
+    assert learnt == [len(ids)]
