@@ -6,9 +6,9 @@ the word before it. Over so small an alphabet the table of all n-grams has a fix
 ORDER`` entries), whatever the corpus is; a word model's table would grow with it.
 
 Counts of the trusted documents are gathered over all of them, as partial counts of each task that Spark sums
-by n-gram. The model's tables are counts joined on their contexts, shard by shard (a shard is a range of
-contexts), and sent out with that proven bound; a document's n-grams are joined with the shards in
-order of their codes. The threshold of a language is a quantile of the perplexity of its trusted documents.
+by n-gram. They are gathered on the driver, which makes the table of the model and broadcasts it with that
+proven bound; there is no join of documents with shards of counts, and the model doesn't grow with the corpus.
+The threshold of a language is a quantile of the perplexity of its trusted documents.
 """
 
 from __future__ import annotations
