@@ -48,6 +48,16 @@ def chunks(array: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         row = end
 
 
+def spans(array: pa.Array, size: int = 8 * CHUNK) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows of about ``size`` bytes of text."""
+    off = flatten(array)[1]
+    row, n = 0, len(off) - 1
+    while row < n:
+        end = min(n, max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1))
+        yield row, end
+        row = end
+
+
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64 and of its inverse."""
     have = _POWERS.get(which)

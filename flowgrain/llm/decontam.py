@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, rolling
-from .shared import materialize, text_or_empty, without_ids
+from .shared import materialize, python_batches, text_or_empty, without_ids
 
 #: Bytes between words: all ASCII signs, white space and controls.
 SIGNS = np.ones(256, bool)
@@ -278,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recal
     out = None
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(_finder(shared, rate, recall, sampled, seed), SCHEMA)
+        found = python_batches(docs).select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(_finder(shared, rate, recall, sampled, seed), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import python_batches, text_or_empty
 
 PACKET, RATE = 576, 8000
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -217,7 +217,7 @@ def op9(docs: DataFrame) -> DataFrame:
             rows = list(zip(*digests(x.as_buffer().to_pybytes() for x in b.column(1)), strict=True)) or [[]] * 7
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.encode(text_or_empty(), "UTF-8").alias("text")).mapInArrow(run, SCHEMA)
+    return python_batches(docs).select(F.col("doc_id").cast("bigint"), F.encode(text_or_empty(), "UTF-8").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def stored(docs: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 yield pa.record_batch([b.column(0).slice(i, 1), pa.array([store(pad(b.column(1)[i].as_buffer().to_pybytes()))], pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.encode(text_or_empty(), "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, media binary")
+    return python_batches(docs).select(F.col("doc_id").cast("bigint"), F.encode(text_or_empty(), "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, media binary")
 
 
 def packets(media: DataFrame, unit: int = PACKET, rate: int = RATE) -> DataFrame:

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, text_or_empty
-from .tokens import encoder
+from .bytetext import spans
+from .shared import discard, materialize, python_batches, text_or_empty
+from .tokens import encoder, ragged
 
 CAPACITY, END = 4096, 1
 #: Pieces that one partition packs, about.
@@ -28,27 +29,36 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The token pieces of every document: its ids and END, cut where longer than ``capacity``. A null text is empty."""
+    """The token pieces of every document: its ids and END, cut where longer than ``capacity``. A null text is empty.
+
+    ``vocabulary`` is the file's path on every executor.
+    """
+    names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = encoder(vocabulary).encode_batch, END.to_bytes(4, "little"), 4 * capacity
+        encode = encoder(vocabulary).encode
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = b.column(1).slice(at, 256).to_pylist()
-                rows, ids = [], []
-                for doc, body in zip(b.column(0).slice(at, 256).to_pylist(), encode(texts), strict=True):
-                    body += end
-                    for k, i in enumerate(range(0, len(body), step)):
-                        part = body[i : i + step]
-                        rows.append((doc, k, i // 4, len(part) // 4, zlib.crc32(part)))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                names = [c.split()[0] for c in PIECES.split(", ")]
-                yield pa.record_batch(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names + ["ids"] * with_ids)
-
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+            for row, end in spans(b.column(1)):
+                own, bound = encode(b.column(1).slice(row, end - row))
+                bound = bound + np.arange(end - row + 1)
+                ids = np.full(bound[-1], END, "<u4")
+                inner = np.ones(len(ids), bool)
+                inner[bound[1:] - 1] = False
+                ids[inner] = own
+                total = np.diff(bound)
+                count = -(-total // capacity)
+                doc = np.repeat(np.arange(end - row), count)
+                piece = ragged(np.zeros(len(count), np.int64), count)
+                first = bound[doc] + piece * capacity
+                length = np.minimum(total[doc] - piece * capacity, capacity)
+                stop, raw = first + length, memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), stop.tolist(), strict=True)]
+                cols = [b.column(0).slice(row, end - row).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)].astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.record_batch(cols, names)
+
+    return python_batches(docs).select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -118,14 +128,14 @@ def offsets(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packer(last: bool, base: int, capacity: int):
-    """The function that packs one partition; bins are numbered from ``base``, those of the first round from zero."""
+def _packer(last: bool, round_: int, capacity: int):
+    """The function that packs one partition of a round; 24 bits of a bin's number are its place in the partition, 24 the partition."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
         lengths = pdf["length"].to_numpy(np.int64)
-        bins, released, _ = pack_part(lengths, pdf["bin"].to_numpy(np.int64) if base else None, last, capacity)
-        where = base + (int(pdf["part"].iloc[0]) << 24) + bins
+        bins, released, _ = pack_part(lengths, pdf["bin"].to_numpy(np.int64) if round_ else None, last, capacity)
+        where = (round_ << 48) + (int(pdf["part"].iloc[0]) << 24) + bins
         return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "length": lengths.astype(np.int32), "bin": where, "offset": offsets(bins, lengths), "released": released})
 
     return run
@@ -133,17 +143,16 @@ def _packer(last: bool, base: int, capacity: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, part_items: int = PART) -> DataFrame:
     """Adds sequence_id and offset to a stored table with ``length`` (1 to capacity) and a unique bigint ``uid``."""
-    full = items.where(F.col("length") == capacity).select("uid", (F.col("uid") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    full = items.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     todo = items.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"), F.lit(None).cast("bigint").alias("bin"))
     total = todo.count()
     done, round_, dealt = full, 0, None
     while total:
         parts = max(1, -(-total // part_items)) if round_ == 0 else max(1, min(parts - 1, -(-total // part_items)))
-        last, base = parts == 1, round_ << 58
+        last = parts == 1
         key = F.xxhash64("uid") if round_ == 0 else F.xxhash64("bin")
-
         dealt = materialize(
-            todo.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).groupBy("part").applyInPandas(_packer(last, base, capacity), "uid bigint, length int, bin bigint, offset bigint, released boolean"), "packed"
+            todo.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).groupBy("part").applyInPandas(_packer(last, round_, capacity), "uid bigint, length int, bin bigint, offset bigint, released boolean"), "packed"
         )
         done = done.unionByName(dealt.where("not released").select("uid", F.col("bin").alias("sequence_id"), "offset"))
         todo = dealt.where("released").select("uid", "length", "bin")

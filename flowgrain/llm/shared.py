@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where it is unset and Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowgrain-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowgrain-"))
     return sc.getCheckpointDir()
 
 
@@ -34,24 +37,77 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for ``df``, once no later plan reads it."""
-    path = getattr(df, "_flowgrain_path", None)
-    if path:
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialize` or :func:`bucketed` wrote, once no later plan reads it."""
+    for df in frames:
         spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        if getattr(df, "_flowgrain_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._flowgrain_table}")
+        path = getattr(df, "_flowgrain_path", None)
+        if path:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-#: Texts that go to Python in one Arrow batch. They are long: Spark's default of 10,000 would hold some 40 MB several times.
-BATCH = 1000
+def bucketed(df: DataFrame, path: str, buckets: int, *keys: str) -> DataFrame:
+    """Write the rows under ``path``, bucketed and sorted by ``keys``: joins on them with equally many buckets need no shuffle."""
+    name = f"flowgrain_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return _table(df.sparkSession, name, path)
+
+
+def open_bucketed(spark: SparkSession, schema: str, path: str, buckets: int, *keys: str) -> DataFrame:
+    """A frame over what :func:`bucketed` wrote in another session."""
+    name = f"flowgrain_{uuid.uuid4().hex}"
+    by = ", ".join(keys)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return _table(spark, name, path)
+
+
+def _table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    out = spark.table(name)
+    out._flowgrain_table, out._flowgrain_path = name, path
+    return out
+
+
+#: Parts into which :func:`salted_totals` deals the rows of a group.
+SALTS = 64
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salts_of(mask: str) -> Column:
+    """One row for each bit of a mask of salts."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col(mask), i) == 1))
+
+
+def salted_totals(rows: DataFrame, keys: list[str], by: list[str], **aggregates) -> DataFrame:
+    """(keys, mask, aggregates) of each group; each of ``aggregates`` is a pair (function that can be applied to its own results, column).
+
+    Groups are first aggregated in up to ``SALTS`` parts by a hash of ``by``; ``mask`` has the bits of those there
+    are. Joined by keys and :func:`salts_of` with rows that carry the same :func:`salt`, the totals reach the rows of a
+    hot group in as many tasks, and have never more rows than the group.
+    """
+    part = rows.groupBy(*keys, salt(*by).alias("salt__")).agg(*(f(c).alias(n) for n, (f, c) in aggregates.items()))
+    return part.groupBy(*keys).agg(F.bit_or(F.expr("shiftleft(1L, salt__)")).alias("mask"), *(f(n).alias(n) for n, (f, _) in aggregates.items()))
+
+
+#: Rows and bytes that go to Python in one Arrow batch. Texts are long: Spark's default of 10,000 rows would hold some 40 MB several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def python_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, after the session's Arrow batches were bound by rows and bytes; operators that send texts to Python begin with it."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
-    """A text column without nulls; all operators that take texts to Python go through it, so it sets their batch size."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """A text column without nulls."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
@@ -66,24 +122,29 @@ def sifted(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[Dat
     bound; every row meets its word of the bitmap on the map side. More ids than the bitmap can tell apart only
     let more rows into the first frame. A null id surely isn't.
     """
-    words = ids.toDF("id__").where("id__ is not null").select(
-        F.pmod(F.xxhash64("id__"), F.lit(WORDS)).alias("word__"), F.expr("shiftleft(1L, int(pmod(shiftright(xxhash64(id__), 32), 64)))").alias("one__")
+    words = ids.toDF("id").where("id is not null").select(
+        F.pmod(F.xxhash64("id"), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, int(pmod(shiftright(xxhash64(id), 32), 64)))").alias("one")
     )
-    words = F.broadcast(materialize(words.groupBy("word__").agg(F.bit_or("one__").alias("bits__")), "bitmap"))
-    key = F.col(column).cast("bigint")
-    met = rows.join(words, F.pmod(F.xxhash64(key), F.lit(WORDS)) == F.col("word__"), "left")
-    own = F.expr(f"shiftrightunsigned(bits__, int(pmod(shiftright(xxhash64(cast({column} as bigint)), 32), 64))) & 1") == 1
-    may = F.coalesce(own & key.isNotNull(), F.lit(False))
-    return met.where(may).select(rows.columns), met.where(~may).select(rows.columns)
+    words = F.broadcast(materialize(words.groupBy("word").agg(F.bit_or("one").alias("bits")), "bitmap"))
+    # Rows travel as one struct, so that none of their names can clash.
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(column).cast("bigint").alias("key"))
+    met = own.join(words, F.pmod(F.xxhash64("key"), F.lit(WORDS)) == F.col("word"), "left")
+    bit = F.expr("shiftrightunsigned(bits, int(pmod(shiftright(xxhash64(key), 32), 64))) & 1") == 1
+    may = F.coalesce(bit & F.col("key").isNotNull(), F.lit(False))
+    return met.where(may).select("row.*"), met.where(~may).select("row.*")
+
+
+def _matched(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(column).cast("bigint").alias("key"))
+    return own.join(ids.toDF("id").distinct().hint("merge"), F.col("key") == F.col("id"), how).select("row.*")
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id is among ``ids``; only those that may be are shuffled."""
-    may, _ = sifted(rows, ids, column)
-    return may.join(ids.toDF("id__").distinct().hint("merge"), F.col(column).cast("bigint") == F.col("id__"), "left_semi").select(rows.columns)
+    return _matched(sifted(rows, ids, column)[0], ids, column, "left_semi")
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id is not among ``ids`` (null ids stay); only those that may be are shuffled."""
     may, surely = sifted(rows, ids, column)
-    return surely.unionByName(may.join(ids.toDF("id__").distinct().hint("merge"), F.col(column).cast("bigint") == F.col("id__"), "left_anti").select(rows.columns))
+    return surely.unionByName(_matched(may, ids, column, "left_anti"))

@@ -37,7 +37,7 @@ def test_encoder_equals_the_library():
     texts = ["", " ", "Don't STOP we've'll 12345 a1b2", "É Å ñ ΟΔΟΣ İ", "日本語 한국어", "a\x1cb", "<|endoftext|> x", "\x85 a", "😀 ...,,!!a--b", "ﬁ ª"]
     texts += ["".join(chr(rng.choice([rng.randint(0, 127), rng.randint(0, 0x24F), rng.randint(0, 0x3000)])) for _ in range(50)) for _ in range(300)]
     assert e.fast
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_batch(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.encode_batch(texts) == [full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_every_piece_has_its_own_place(spark):

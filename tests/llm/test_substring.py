@@ -53,20 +53,61 @@ def test_equals_brute_force_in_any_number_of_batches(spark):
     rows = corpus(random.Random(11))
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, rank int, prints string")
     want = brute(rows, 50)
-    for batches in (1, 2, 5):
+    for batches in (1, 2, 5, 9):
         got = sorted((tuple(r) for r in substring.op6(df, batches).collect()), key=str)
         assert got == want, batches
     assert substring.op6(df.limit(0)).count() == 0
 
 
+def test_equal_polynomial_hashes_are_no_equal_words(spark):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    plain = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    swapped = plain.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{plain} {rest}"), (2, f"{swapped} {rest} x"), (3, f"{swapped} {rest}"), (4, f"{plain} {rest} y z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for batches in (1, 3):
+        assert sorted(tuple(r) for r in substring.op6(df, batches).collect()) == brute(rows, 50)
+
+
 def test_index_is_incremental_and_compacts(spark):
     passage = " ".join(f"w{i}" for i in range(80))
-    index = substring.FingerprintIndex()
+    index = substring.FingerprintIndex(spark, fan=4)
     for k in range(5):
         df = spark.createDataFrame([(10 - k, f"start{k} {passage} end{k}")], "doc_id bigint, text string")
         got = index.add(df, with_text=True).collect()[0]
         assert (got.n_removed, got.kept_text) == ((0, None) if k == 0 else (80, f"start{k} end{k}"))
-    assert [level for level, _ in index.runs] == [1, 0]
+    assert [r.level for r in index.runs] == [1, 0]
+    index.close()
+
+
+def test_index_opens_again(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(80))
+    root = f"file://{tmp_path}/index"
+    for k in range(4):
+        index = substring.FingerprintIndex.open(spark, root) if k else substring.FingerprintIndex(spark, root=root)
+        df = spark.createDataFrame([(10 - k, f"start{k} {passage} end{k}"), (None, passage), (20 + k, None)], "doc_id bigint, text string")
+        got = {r.doc_id: (r.n_removed, r.kept_text) for r in index.add(df, with_text=True).collect()}
+        assert got == {10 - k: (0, None) if k == 0 else (80, f"start{k} end{k}"), None: (0, None), 20 + k: (0, None)}
+
+
+def test_merge_join_shuffles_neither_side(spark):
+    index = substring.FingerprintIndex(spark, fan=9)
+    df = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 90), i -> concat('w', i, '-', id % 7))) AS text")
+    index.add(df)
+    run = index._run(0, spark.range(5000).selectExpr("id AS print", "1 AS rank", "id AS doc_id"))
+    met = run.heads.select("print").join(index.runs[0].heads.select("print", "mask").hint("merge"), "print")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_long_texts_and_very_common_passages(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{passage} own{i}") for i in range(400)] + [(1000, " ".join(f"z{i}" for i in range(60000)) + " " + passage)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in substring.op6(df).collect()}
+    assert got == {i: 0 if i == 0 else 60 for i in range(400)} | {1000: 60}
 
 
 def test_texts_are_cut_and_emptied_ones_go(spark):
