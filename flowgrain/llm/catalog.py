@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, html_extract, ogg, packing, quality, sharding, simhash, substring, url_rules
+from .pipeline import run
 from .shared import table
-
-#: Name of the vocabulary file, looked up in the package of public tokenizers.
-VOCABULARY = "word_bpe_49k.json"
+from .tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +42,6 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op7(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(VOCABULARY)
-
-
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,9 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -36,6 +36,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
+def lightest_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of the edges of a minimum spanning forest, by rounds in which every component takes its lightest edge.
+
+    Ties go to the smaller (u, v), so forests of overlapping sets of edges agree where they can.
+    """
+    order = np.lexsort((v, u, weight))
+    nodes, at = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+    a, b, edge = at[: len(u)], at[len(u) :], np.arange(len(u))
+    label, taken = np.arange(len(nodes)), [edge[:0]]
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return order[np.concatenate(taken)]
+        a, b, x, y, edge = a[apart], b[apart], x[apart], y[apart], edge[apart]
+        best = np.full(len(nodes), len(u))
+        np.minimum.at(best, x, edge)
+        np.minimum.at(best, y, edge)
+        pick = np.unique(best[best < len(u)])
+        taken.append(pick)
+        own = np.searchsorted(edge, pick)
+        label = local_roots(len(nodes), x[own], y[own])[label]
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node with an edge, root being the smallest node of its component.
 

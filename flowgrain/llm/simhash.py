@@ -11,9 +11,6 @@ the Hamming distance is computed exactly.
 What keeps it bounded: equal fingerprints are one point; a cell with more than ``CELL`` points is
 dealt out as pairs of parts, each of which is a task's unit of bounded size; a unit returns a
 spanning forest of its links and never all its pairs.
-
-With a ``similarity``, what fingerprints link are only candidates: the documents of each group that they connect
-are compared by their shingles themselves, all with all, and only pairs of that Jaccard similarity are links.
 """
 
 from __future__ import annotations
@@ -27,13 +24,11 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, xxh64
 from .components import connected_components, forest
-from .shared import discard, materialize, sifted, text_or_empty, with_ids, without_ids
+from .shared import discard, materialize, python_batches, salt, salted_totals, salts_of, text_or_empty
 
 SEED, SEGMENTS = 42, 32
 #: Points of a cell that one part holds.
 CELL = 4096
-#: Documents of a candidate group that one part holds, and shingles that are counted at once.
-PART, STRIPE = 256, 4096
 _EVEN = np.uint64(0x5555555555555555)
 
 
@@ -109,22 +104,22 @@ def columns(salts: int) -> list[str]:
 
 
 def with_fingerprint(docs: DataFrame, width: int = 4, salts: int = 1, once: bool = False) -> DataFrame:
-    """(doc_id, fp, …) of every row, with ``once`` also its ``digest``; a null text has no words and the fingerprint zero."""
+    """(doc_id, t, fp, …) of every row, t being a hash of the text, with ``once`` also its ``digest``; a null text has no words and the fingerprint zero."""
     names = columns(salts) + ["digest"] * once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = fingerprints(b.column(1), width, salts, once).view(np.int64)
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(p)) for p in prints.T)], ["doc_id", *names])
+            prints = fingerprints(b.column(2), width, salts, once).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(p)) for p in prints.T)], ["doc_id", "t", *names])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty()).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    own = python_batches(docs).select(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text"))
+    return own.mapInArrow(run, "doc_id bigint, t bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def grid_cells(fp: np.ndarray, blocks: int, reach: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grid_cells(fp: np.ndarray, blocks: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, position in ``fp``, is home): the home cell of each block and the positive side of those around it."""
     fp, place = fp.view(np.uint64), np.arange(len(fp))
-    low, high = fp & _EVEN, (fp >> np.uint64(1)) & _EVEN
-    counts = (low ^ high) | ((low & high) << np.uint64(1))
+    counts = popcounts(fp)
     cells, points, home = [], [], []
 
     def put(cell: np.ndarray, who: np.ndarray, is_home: bool) -> None:
@@ -135,7 +130,7 @@ def grid_cells(fp: np.ndarray, blocks: int, reach: int, salt: int = 0) -> tuple[
     for block, segments in enumerate(np.array_split(np.arange(SEGMENTS), blocks)):
         digit = [((counts >> np.uint64(2 * s)) & np.uint64(3)).astype(np.int8) for s in segments]
         unit = [np.int64(1) << (2 * i) for i in range(len(segments))]
-        own = sum(d.astype(np.int64) * u for d, u in zip(digit, unit, strict=True)) | (np.int64(block) << 58) | (np.int64(salt) << 50)
+        own = sum(d.astype(np.int64) * u for d, u in zip(digit, unit, strict=True)) | (np.int64(block) << 58)
         put(own, place, True)
         for i, d in enumerate(digit):
             for step in range(1, reach + 1):
@@ -149,219 +144,120 @@ def grid_cells(fp: np.ndarray, blocks: int, reach: int, salt: int = 0) -> tuple[
     return np.concatenate(cells), np.concatenate(points), np.concatenate(home)
 
 
-def links_of_units(unit: np.ndarray, home: np.ndarray, prints: list[np.ndarray], most: int, near: int = 64, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within units of rows: at most ``most`` differing bits over all fingerprints, and at
-    most ``near`` in one of them.
+def popcounts(fp: np.ndarray) -> np.ndarray:
+    """The bit counts of the 32 segments of each fingerprint, two bits each."""
+    low, high = fp & _EVEN, (fp >> np.uint64(1)) & _EVEN
+    return (low ^ high) | ((low & high) << np.uint64(1))
 
-    Nodes are the first fingerprints unless they are given.
-    """
-    order = np.lexsort((~home, unit))
-    unit, home, prints = unit[order], home[order], [p[order] for p in prints]
-    fp = prints[0] if node is None else node[order]
+
+def pairs_of_units(unit: np.ndarray, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j > i) of all pairs within units (sorted) of which the first is live, one distance apart at a time."""
     size = np.diff(np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]), len(unit)]) if len(unit) else np.zeros(0, int)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(unit)) - 1
-    live = np.flatnonzero(home & (left > 0))
-    u, v, held, d = [], [], 0, 0
+    live, d = live[left[live] > 0], 0
     while len(live):
         d += 1
         live = live[left[live] >= d]
+        yield live, live + d
+
+
+def links_of_units(unit: np.ndarray, home: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (at most ``most`` differing bits) within units of rows of which one is at home."""
+    order = np.lexsort((~home, unit))
+    unit, home, fp = unit[order], home[order], fp[order]
+    u, v, held = [], [], 0
+    for i, j in pairs_of_units(unit, np.flatnonzero(home)):
         # Counts are of unsigned values: of a signed one numpy counts the magnitude.
-        apart = np.stack([np.bitwise_count((p[live] ^ p[live + d]).view(np.uint64)) for p in prints])
-        hit = live[(apart.sum(0, dtype=np.int16) <= most) & (apart.min(0) <= near) & (fp[live] != fp[live + d])]
-        if len(hit):
-            u.append(fp[hit])
-            v.append(fp[hit + d])
-            held += len(hit)
+        near = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= most) & (fp[i] != fp[j])
+        if near.any():
+            u.append(fp[i[near]])
+            v.append(fp[j[near]])
+            held += len(u[-1])
             if held > 1 << 19:
                 a, b = forest(np.concatenate(u), np.concatenate(v))
                 u, v, held = [a], [b], len(a)
     return forest(np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
 
 
-def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1, node: str | None = None) -> DataFrame:
-    """Edges (u, v) between first fingerprints that connect all points linked within ``most`` bits in all.
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first column, in runs of about ``rows`` rows that end with a unit."""
+    held: list[list[np.ndarray]] = []
+    have = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        have += b.num_rows
+        if have < rows:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut:
+            yield [x[:cut] for x in cols]
+            cols = [x[cut:] for x in cols]
+        held, have = [cols], len(cols[0])
+    if have:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach: int = 1) -> DataFrame:
+    """Edges (u, v) between fingerprints that connect all points linked within ``most`` bits.
 
-    The grid finds every pair of which one fingerprint differs by at most ``blocks * (reach + 1) - 1`` bits; with
-    several fingerprints that is part of what a link is, with one ``most`` must not be above it. With a column
-    ``node``, edges are between its values; all pairs that meet in a cell of a fingerprint and differ in at most ``most``
-    bits of it and the next two are linked. Only these three travel with the cell: the rest would be most of the shuffle.
+    The grid finds every pair that differs by at most ``blocks * (reach + 1) - 1`` bits; ``most`` must not be above it.
     """
-    near = blocks * (reach + 1) - 1
-    if (near < most and salts == 1) or reach not in (0, 1, 2):
+    if blocks * (reach + 1) - 1 < most or reach not in (0, 1, 2):
         raise ValueError(f"{blocks} blocks of reach {reach} do not cover {most} bits")
-    own = columns(salts)
-    names = own if node is None else ["p0", "p1", "p2", node]
-    schema = "cell bigint, home boolean, " + ", ".join(f"{n} bigint" for n in names)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 8192):
-                prints = [c.slice(at, 8192).to_numpy(zero_copy_only=False) for c in b.columns]
-                for s in range(salts):
-                    cell, who, home = grid_cells(prints[s], blocks, reach, s)
-                    taken = prints if node is None else [*(prints[(s + i) % salts] for i in range(3)), prints[-1]]
-                    yield pa.record_batch([pa.array(cell), pa.array(home), *(pa.array(p[who]) for p in taken)], ["cell", "home", *names])
+                fp = b.column(0).slice(at, 8192).to_numpy(zero_copy_only=False)
+                cell, who, home = grid_cells(fp, blocks, reach)
+                yield pa.record_batch([pa.array(cell), pa.array(home), pa.array(fp[who])], ["cell", "home", "fp"])
 
     # Made twice, as it is cheap to make and many times the size of the points.
-    spread = points.select(own if node is None else [*own, node]).mapInArrow(cells, schema)
+    spread = points.select("fp").mapInArrow(cells, "cell bigint, home boolean, fp bigint")
     crowded = spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    if node is not None:
-        # At most one cell for each CELL rows; the rows then are shuffled once only.
-        crowded = F.broadcast(crowded)
     parts = F.coalesce(F.ceil(F.col("n") / F.lit(CELL)), F.lit(1)).cast("int")
     dealt = (
         spread.join(crowded, "cell", "left")
-        .select("cell", "home", *names, F.pmod(F.xxhash64(*names), parts).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
-        .select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "home", *names)
+        .select("cell", "home", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("b"))
+        .select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "home", "fp")
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            found = links_of_units(*cols[:2], cols[2:], most, near) if node is None else links_of_units(*cols[:2], cols[2:-1], most, node=cols[-1])
-            return pa.record_batch([pa.array(x) for x in found], ["u", "v"])
-
-        for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + len(names))])
-            rows += b.num_rows
-            if rows < 1 << 17:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if cut:
-                yield out([x[:cut] for x in cols])
-                cols = [x[cut:] for x in cols]
-            held, rows = [cols], len(cols[0])
-        if rows:
-            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+        for unit, home, fp in whole_units(batches):
+            yield pa.record_batch([pa.array(x) for x in links_of_units(unit, home, fp, most)], ["u", "v"])
 
     found = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(find, "u bigint, v bigint")
     return materialize(found, "links")
 
 
-def similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of documents whose sets of hashes have that Jaccard similarity, by exact counts."""
-    node, first = np.unique(node, return_index=True)
-    size = np.array([len(sets[i]) for i in first])
-    who = np.repeat(np.arange(len(node)), size)
-    h = np.concatenate([sets[i] for i in first])
-    order = np.argsort(h, kind="stable")
-    who, new = who[order], np.diff(h[order], prepend=~h[order[:1]]) != 0
-    rank = np.cumsum(new) - 1
-    # A shingle of one document adds to no intersection.
-    keep = np.bincount(rank)[rank] > 1
-    who, rank = who[keep], rank[keep]
-    rank = np.cumsum(np.diff(rank, prepend=-1) != 0) - 1
-    shared = np.zeros((len(node), len(node)), np.float32)
-    for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, STRIPE):
-        low, high = np.searchsorted(rank, [at, at + STRIPE])
-        has = np.zeros((len(node), min(STRIPE, int(rank[-1]) + 1 - at)), np.float32)
-        has[who[low:high], rank[low:high] - at] = 1
-        shared += has @ has.T
-    u, v = np.nonzero(np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-3, 1))
-    return forest(node[u], node[v])
-
-
-def verified_links(docs: DataFrame, points: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (u, v) between digests that connect all documents of that Jaccard similarity within the groups of ``links``.
-
-    A group of more than ``PART`` documents is dealt out as pairs of parts, so a task's unit holds two parts.
-    """
-    roots = materialize(connected_components(links), "candidates")
-    # The root has no row of its own.
-    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    parts = roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / F.lit(PART)).cast("int").alias("parts"))
-    reps = materialize(nodes.join(points, F.col("node") == F.col("digest")).select("rep", "node", "root").join(parts, "root"), "reps")
-    may, _ = sifted(docs.select("doc_id", "text"), reps.select("rep"))
-    texts = may.join(reps.hint("merge"), F.col("doc_id").cast("bigint") == F.col("rep")).select("node", "root", "parts", text_or_empty())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            for row, end, data, off in chunks(b.column(3)):
-                doc, h = shingle_sets(Words(data, off), width)
-                at = np.searchsorted(doc, np.arange(end - row + 1))
-                # Another text of the same doc_id has another digest.
-                own = pa.array(digests(doc, h, end - row).view(np.int64) == node[row:end])
-                cols = [*(b.column(i).slice(row, end - row) for i in range(3)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))]
-                yield pa.record_batch([c.filter(own) for c in cols], ["node", "root", "parts", "h"])
-
-    known = texts.mapInArrow(sets, "node bigint, root bigint, parts int, h array<bigint>")
-    a = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = known.select("node", "h", "root", a.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
-    dealt = dealt.select(F.xxhash64("root", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "node", "h")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, node, held = None, [], []
-        u, v = [], []
-
-        def close() -> None:
-            if len(node) > 1:
-                a, b = similar(np.array(node, np.int64), held, similarity)
-                u.append(a)
-                v.append(b)
-
-        for batch in batches:
-            lists = batch.column(2)
-            at, h = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for i, (own, who) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if own != unit:
-                    close()
-                    unit, node, held = own, [], []
-                node.append(who)
-                held.append(h[at[i] : at[i + 1]].copy())
-            if u:
-                yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-                u, v = [], []
-        close()
-        if u:
-            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-    return materialize(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "u bigint, v bigint"), "verified")
-
-
-def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1, salts: int = 1, similarity: float | None = None) -> DataFrame:
+def grouped(prints: DataFrame, points: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """``prints`` with component_id: the smallest doc_id (``rep``) of all points (``node``, mask of salts, rep) that the links connect with the row's."""
+    roots = connected_components(links)
+    rooted = points.join(roots, F.col(node) == F.col("node"), "left").select(node, "mask", "rep", F.coalesce("root", F.col(node)).alias("root"))
+    rooted = materialize(rooted, "rooted")
+    least = salted_totals(rooted, ["root"], [node], component_id=(F.min, "rep"))
+    named = rooted.withColumn("salt", salt(node)).join(least.select("root", "component_id", salts_of("mask").alias("salt")), ["root", "salt"])
+    named = materialize(named.select(node, "component_id", salts_of("mask").alias("salt")), "groups")
+    discard(rooted)
+    return prints.withColumn("salt", salt("doc_id")).join(named, [node, "salt"]).drop("salt")
+
+
+def near_duplicate_groups(docs: DataFrame, most: int = 4, width: int = 4, blocks: int = 3, reach: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are left out).
 
     component_id: the smallest doc_id among all rows that links reach. Rows with a null doc_id take part
-    and get the group's smallest id that is not null, or null (with a ``similarity`` they must be left out).
-    Null, empty and word-less texts have the fingerprint zero and form links like any others. Repeated rows
-    come out as often as they come in.
+    and get the group's smallest id that is not null, or null. Null, empty and word-less texts have the fingerprint
+    zero and form links like any others. Repeated rows come out as often as they come in; an empty table gives no rows.
     """
-    names = columns(salts)
-    exact = similarity is not None
-    node = "digest" if exact else "fp"
-    prints = materialize(with_fingerprint(docs, width, salts, exact), "fingerprints")
-    all_points = materialize(prints.groupBy(*names, *["digest"] * exact).agg(F.min("doc_id").alias("rep")), "points")
-    links = fingerprint_links(all_points, most, blocks, reach, salts, "digest" if exact else None)
-    if exact:
-        candidates, links = links, verified_links(docs, all_points, links, width, similarity)
-        discard(candidates)
-    # Rows of equal first fingerprints belong together.
-    points = all_points if salts == 1 or exact else all_points.groupBy("fp").agg(F.min("rep").alias("rep"))
-    roots = connected_components(links)
-    grouped = points.join(roots, F.col(node) == F.col("node"), "left").select(F.col(node).alias("node"), "rep", F.coalesce("root", F.col(node)).alias("root"))
-    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select(F.col("node").alias(node), "component_id"), "groups")
-    discard(all_points)
-    discard(links)
-    return prints.join(named, node).select("doc_id", "fp", "component_id")
+    prints = materialize(with_fingerprint(docs, width), "fingerprints")
+    points = materialize(salted_totals(prints, ["fp"], ["doc_id"], rep=(F.min, "doc_id")), "points")
+    links = fingerprint_links(points, most, blocks, reach)
+    out = grouped(prints, points, links, "fp")
+    discard(points, links)
+    return out.select("doc_id", "fp", "component_id")
 
 
 def op3(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     return near_duplicate_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one with its smallest doc_id, once.
-
-    Rows with a null doc_id cannot stand for a group and are kept as they are.
-    """
-    groups = near_duplicate_groups(docs.where("doc_id is not null"), **how)
-    ids = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "ids")
-    once = without_ids(docs, ids.where("doc_id <> component_id or n > 1").select("doc_id"))
-    again = with_ids(docs, ids.where("doc_id = component_id and n > 1").select("doc_id")).dropDuplicates(["doc_id"])
-    return once.unionByName(again)

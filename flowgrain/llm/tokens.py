@@ -263,6 +263,17 @@ class Encoder:
         return [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:], strict=True)]
 
 
+#: Name of the vocabulary file in the package of public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    """The path of the vocabulary file; the package has the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """The process's encoder of a vocabulary file."""

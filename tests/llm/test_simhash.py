@@ -85,48 +85,9 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == want
 
 
-def test_one_document_of_each_group_stays(spark):
-    text = " ".join(f"w{i}" for i in range(300))
-    rows = [(3, text), (1, text + " x"), (2, "other words here"), (1, text + " x"), (None, text), (9, None), (8, "")]
-    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, component_id string")
-    out = simhash.keep_one_of_each_group(df, width=5, most=42, blocks=4, reach=1, salts=4)
-    assert out.columns == df.columns
-    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(1, text + " x"), (2, "other words here"), (-1, text), (8, "")])
-
-
 def test_salts_are_independent():
     texts = pa.array([" ".join(f"w{i * j % 97}" for j in range(50)) for i in range(1, 90)])
     f = simhash.fingerprints(texts, 5, 3)
     assert (f[:, 0] == simhash.fingerprints(texts, 5)[:, 0]).all()
     apart = np.bitwise_count(f[:, 0] ^ f[:, 1]).mean()
     assert 28 < apart < 36
-
-
-def test_pipeline_keeps_what_exact_similarity_keeps(spark, monkeypatch):
-    import corpus_pipeline
-
-    monkeypatch.setattr(simhash, "PART", 3)
-    rng = random.Random(3)
-    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
-    rows = []
-    for i in range(300):
-        n = rng.choice([9, 60, 150, 400])
-        a = new(n)
-        # One run of new words at the end changes as many shingles as it has words.
-        b = a[: n - round((n - 4) * rng.uniform(0.02, 0.2))]
-        rows += [(10 * i, a), (10 * i + 1, b + new(n - len(b)))]
-    hub = new(200)
-    rows += [(9000 + i, hub[: 200 - i] + new(i)) for i in range(12)]
-    rows += [(9500, new(3) * 100), (9501, [])]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, w in rows]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                root = [root[j] if r == root[i] else r for r in root]
-    want = {min(d for (d, _), r in zip(rows, root, strict=True) if r == own) for own in root}
-    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
-    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()}
-    # No document is dropped for less than 0.8; a pair may be missed.
-    assert got >= want and len(got - want) <= 2
-    assert 80 < len(rows) - len(want) < 280
