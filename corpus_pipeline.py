@@ -1,59 +1,5 @@
-"""From raw documents to packed training sequences: five stages, each of which sees all that the one before kept."""
+"""The corpus pipeline, as ``flowgrain.llm`` defines it: stages over the documents, and their run."""
 
-from __future__ import annotations
+from flowgrain.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from flowgrain.llm import decontam, packing, quality, simhash, substring
-from flowgrain.llm.catalog import vocabulary
-from flowgrain.llm.shared import materialize, table
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs with a Jaccard similarity of 0.8 or more of their five-word shingles connect.
-
-    Six fingerprints find candidates, which are compared by their shingles: at 0.8, about 15 % of the bits differ; 51 of the 192 bits of three are 27 %.
-    """
-    return simhash.keep_one_of_each_group(docs, width=5, most=51, blocks=4, reach=1, salts=6, similarity=0.8)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that a document of a smaller id has."""
-    return substring.remove_repeats(docs)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no near copy of a benchmark item."""
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of the documents and their places in sequences."""
-    return packing.op8(docs, vocabulary())
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", simhash_near_dedup),
-    ("substring dedup", substring_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("best-fit packing", best_fit_packing),
-]
-
-#: SQL can express neither the model nor the tokenizer; tests/llm holds the result against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between them the rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
