@@ -139,12 +139,24 @@ def _matched(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFram
     return own.join(ids.toDF("id").distinct().hint("merge"), F.col("key") == F.col("id"), how).select("row.*")
 
 
+def _split(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows whose id is surely among ``ids``, those where only a join can tell, those whose id surely isn't).
+
+    Ids that the bitmap takes for some of ``ids`` are found by a join of ids alone and go into a second bitmap: few rows are in both.
+    """
+    may, surely_not = sifted(rows, ids, column)
+    false = sifted(rows.select(F.col(column).cast("bigint").alias("id")), ids, "id")[0].distinct().join(ids.toDF("id").distinct().hint("merge"), "id", "left_anti")
+    unclear, surely = sifted(may, materialize(false, "false"), column)
+    return surely, unclear, surely_not
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose id is among ``ids``; only those that may be are shuffled."""
-    return _matched(sifted(rows, ids, column)[0], ids, column, "left_semi")
+    """The rows whose id is among ``ids``; of the rows only those are shuffled that two bitmaps can't tell."""
+    surely, unclear, _ = _split(rows, ids, column)
+    return surely.unionByName(_matched(unclear, ids, column, "left_semi"))
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among ``ids`` (null ids stay); only those that may be are shuffled."""
-    may, surely = sifted(rows, ids, column)
-    return surely.unionByName(_matched(may, ids, column, "left_anti"))
+    """The rows whose id is not among ``ids`` (null ids stay); of the rows only those are shuffled that two bitmaps can't tell."""
+    _, unclear, surely_not = _split(rows, ids, column)
+    return surely_not.unionByName(_matched(unclear, ids, column, "left_anti"))

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -6,57 +10,82 @@ from flowgrain.llm import quality
 from flowgrain.llm.bytetext import chunks
 
 
-def stream(text):
-    (_, _, data, off), = chunks(pa.array([text]))
-    return quality.symbols(data, off)[0].tolist()
+def stream(*texts):
+    (_, _, data, off), = chunks(pa.array(list(texts)))
+    units, bound = quality.symbols(data, off)
+    return [bytes(units[a:b].tobytes()).decode("utf-16-le") for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
 
+def test_symbols_are_code_units_with_single_spaces():
+    assert stream("", "Ab \n cD1, ", "   ", " \t", "é😀 жук\r\n漢字", "x") == ["", "Ab cD1,", "", "", "é😀 жук 漢字", "x"]
+    assert stream("to to\nto be", "be be") == ["to\x1a\x1a be", "be\x1a"]
 
-def test_symbols():
-    a = lambda s: [ord(c) - 96 for c in s]
-    assert stream("") == [0]
-    assert stream("Ab  cD1,") == [0, *a("ab"), 0, 3, 4, quality.DIGIT, quality.STOP, 0]
-    assert stream("ABC é$") == [0, 1, quality.CAPITAL, quality.CAPITAL, 0, quality.FOREIGN, quality.SIGN, 0]
-    assert stream("to to\nto be") == [0, *a("to"), quality.AGAIN, quality.AGAIN, 0, *a("be"), 0]
 
+def brute_keys(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    body = "".join("\x1a" if i and w == words[i - 1] else " " * (i > 0) + w for i, w in enumerate(words))
+    units = [32] * 3 + np.frombuffer(body.encode("utf-16-le"), "<u2").tolist() + [32]
+    return [tuple(units[i : i + 4]) for i in range(len(units) - 3)] if body else []
 
-def brute_kn(counts, symbols, order):
-    """Probability of each n-gram by the textbook recursion over dictionaries."""
-    from itertools import product
 
-    grams = [{g: int(counts[np.ravel_multi_index(g, (symbols,) * order)]) for g in product(range(symbols), repeat=order)}]
-    while len(grams) < order:
+def brute_bits(trusted, texts):
+    """Mean bits of each text by the textbook recursion over dictionaries."""
+    grams = [{}]
+    for t in trusted:
+        for g in brute_keys(t):
+            grams[0][g] = grams[0].get(g, 0) + 1
+    while len(grams) < 4:
         low = {}
-        for g, n in grams[-1].items():
-            low[g[1:]] = low.get(g[1:], 0) + (n > 0)
+        for g in grams[-1]:
+            low[g[1:]] = low.get(g[1:], 0) + 1
         grams.append(low)
     grams.reverse()
-
-    def discount(level):
-        d = quality._discounts(np.array(list(grams[level].values())))
-        return lambda n: d[min(n, 3)]
-
-    ds = [discount(i) for i in range(order)]
+    cut = [quality.discounts({i: sum(n == i for n in level.values()) for i in range(1, 5)}) for level in grams]
+    rows = []
+    for level in grams:
+        own = {}
+        for g, n in level.items():
+            own.setdefault(g[:-1], []).append(n)
+        rows.append(own)
 
     def p(g):
         level = len(g) - 1
-        row = [grams[level][(*g[:-1], s)] for s in range(symbols)]
-        below = p(g[1:]) if level else 1 / symbols
-        if not sum(row):
+        below = p(g[1:]) if level else 1 / 65536
+        own = rows[level].get(g[:-1])
+        if not own:
             return below
-        n = grams[level][g]
-        return max(n - ds[level](n), 0) / sum(row) + sum(ds[level](x) for x in row) / sum(row) * below
-
-    return np.array([p(g) for g in product(range(symbols), repeat=order)])
-
-
-def test_model_equals_the_recursion(monkeypatch):
-    monkeypatch.setattr(quality, "SYMBOLS", 4)
-    monkeypatch.setattr(quality, "ORDER", 3)
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(0.8, 64) * rng.integers(0, 4, 64)
-    table = quality.kneser_ney(counts)
-    assert np.allclose(2.0**table, brute_kn(counts, 4, 3), rtol=1e-5)
-    assert np.allclose((2.0**table).reshape(-1, 4).sum(1), 1, rtol=1e-5)
+        n, d = grams[level].get(g, 0), cut[level]
+        return max(n - d[min(n, 3)], 0) / sum(own) + sum(d[min(x, 3)] for x in own) / sum(own) * below
+
+    return [-sum(math.log2(p(g)) for g in k) / len(k) if (k := brute_keys(t)) else None for t in texts]
+
+
+def test_query_equals_the_recursion(spark, monkeypatch):
+    """Perplexity, threshold and verdict of every row, in two languages and three scripts, over several blocks."""
+    rng = random.Random(3)
+    letters = ["abcdé ", "жук нё", "漢字 語"]
+    rows = [(i, "".join(rng.choice(letters[i % 3]) for _ in range(rng.randint(1, 80))), "xy"[i % 2]) for i in range(130)]
+    rows += [(200 + i, "".join(rng.choice("$%&~😀漢z") for _ in range(60)), "xy"[i % 2]) for i in range(6)] + [(300, None, "x"), (301, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 110)] + [(5, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rule = quality.Rule(0.9, 1.1, 50)
+    got = {r.doc_id: r for r in quality.classify(docs, labels, rule).collect()}
+    trusted = [i for i in range(110) if i != 5]
+    bits = dict(zip([r[0] for r in rows], brute_bits([rows[i][1] for i in trusted], [t or "" for _, t, _ in rows]), strict=True))
+    limits = {}
+    for lang in ("x", "y", None):
+        steps = sorted(math.ceil(round(bits[i] * 1000, 6)) for i in trusted if bits[i] is not None and lang in (None, rows[i][2]))
+        limits[lang] = steps[math.ceil(0.9 * len(steps)) - 1] / 1000 * 1.1
+    assert len(got) == len(rows)
+    for d, _, lang in rows:
+        limit = limits.get(lang if lang else "none", limits[None])
+        assert got[d].threshold == pytest.approx(2**limit, rel=2e-3)
+        if bits[d] is None:
+            assert got[d].perplexity is None and got[d].keep
+        else:
+            assert got[d].perplexity == pytest.approx(2 ** bits[d], rel=1e-4)
+            assert got[d].keep == (bits[d] <= limit) or abs(bits[d] - limit) < 2e-3
+    assert not any(got[200 + i].keep for i in range(6))
 
 
 def test_thresholds_are_quantiles_of_each_language(spark):
