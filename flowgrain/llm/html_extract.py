@@ -1,16 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass labels a block good, bad, or undecided from
-its region (menus, headers, footers, sidebars, forms, notices, adverts, comments by tag, role, class or
-id; an article or main element), its link density, its length and its density of stop words. The second
-pass gives undecided blocks the label of the nearest decided neighbours. Text is decoded once, white space
-in a block becomes one space, and good blocks are joined in page order by one space.
+A page is cut into blocks at block-level tags. Tags, roles and whole class names only mark evidence: that a block lies in
+a menu, header, footer, sidebar, form, notice, advert or reader comment, or in an article. The first pass labels a block good, bad
+or undecided from its density of stop words, its length and its link density, with milder limits inside a marked
+article; marked boilerplate is bad, and so is what lies outside the article of a page that has one. The second pass
+gives undecided blocks the label of the nearest decided neighbours: inside an article of that article's
+blocks, its edges counting as good, elsewhere of the page's, whose edges count as bad. Text is decoded once, white space in a block
+becomes one space, and good blocks are joined in page order by one space.
 """
 
 from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,9 @@ BOILERPLATE_NAMES = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 ARTICLE_NAMES = frozenset("article post entry story articlebody".split())
+# Words beside the names above that say nothing of their own: only with them is a compound name one of those above.
+LAYOUT_NAMES = frozenset("site page main top bottom left right bar box block wrapper wrap container inner outer list item items section area panel slot unit links link icons icon buttons button global primary secondary fixed sticky the".split())
+BODY_NAMES = frozenset("content body text main full".split())
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
@@ -47,7 +53,7 @@ _PART = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -60,27 +66,39 @@ class Block:
     heading: bool
 
 
-def _names(rest: str) -> tuple[set[str], str, bool]:
-    """(words of class and id, role, whether the element is hidden)."""
-    names, role, hidden = set(), "", False
+def _marks(name: str) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate, and whether it names an article: all its parts must speak for it.
+
+    ``cookie-banner`` and ``siteFooter`` are boilerplate, ``share-price`` and ``search-engine`` are not.
+    """
+    parts = {x for x in re.split(r"[^a-z]+", _CAMEL.sub("-", name).lower()) if x}
+    bad = bool(parts & BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | LAYOUT_NAMES
+    return bad, bool(parts & ARTICLE_NAMES) and parts <= ARTICLE_NAMES | BODY_NAMES
+
+
+def _evidence(rest: str) -> tuple[bool, bool, str, bool]:
+    """(a name of boilerplate, a name of an article, role, hidden) of a tag's attributes."""
+    bad = good = hidden = False
+    role = ""
     for key, a, b, c in _ATTRIBUTE.findall(rest):
-        value = (a or b or c).lower()
-        key = key.lower()
+        value, key = a or b or c, key.lower()
         if key in ("class", "id"):
-            for token in value.split():
-                names.add(token)
-                names.update(_NAME.findall(token))
+            for name in value.split():
+                own = _marks(name)
+                bad, good = bad or own[0], good or own[1]
         elif key == "role":
-            role = value
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            role = value.lower()
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.lower().replace(" ", "")):
             hidden = True
-    return names, role, hidden
+    return bad, good, role, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; text of scripts, styles and the head is left out."""
     out: list[Block] = []
+    # Open elements: name, and whether it or one around it is boilerplate or an article; and how many there are of each name.
     stack: list[tuple[str, bool, bool]] = []
+    depth: Counter[str] = Counter()
     pieces: list[str] = []
     link_pieces: list[str] = []
     link_depth, heading, at = 0, False, 0
@@ -89,10 +107,15 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal pieces, link_pieces
         text = " ".join("".join(pieces).split())
         if text:
-            bad = any(s[1] for s in stack)
-            out.append(Block(text, len(" ".join("".join(link_pieces).split())), bad, any(s[2] for s in stack), heading))
+            _, bad, article = stack[-1] if stack else ("", False, False)
+            out.append(Block(text, len(" ".join("".join(link_pieces).split())), bad, article, heading))
         pieces, link_pieces = [], []
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        depth[name] -= 1
+        return name
+
     def add(raw: str) -> None:
         text = html_module.unescape(raw) if "&" in raw else raw
         pieces.append(text)
@@ -139,26 +162,26 @@ def blocks_of(page: str) -> list[Block]:
             heading = False
         if name in CONTAINERS or (not closing and name in ("p", "li")):
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                while depth[name] and pop() != name:
+                    pass
             elif not rest.endswith("/") and name not in VOID_TAGS:
-                names, role, hidden = _names(rest) if rest.strip() else (set(), "", False)
+                named_bad, named_good, role, hidden = _evidence(rest) if rest.strip() else (False, False, "", False)
                 if name in ("p", "li"):
                     while stack and stack[-1][0] == name:
-                        stack.pop()
-                bad = name in BOILERPLATE_TAGS or bool(names & BOILERPLATE_NAMES) or role in BOILERPLATE_ROLES or hidden
+                        pop()
+                _, bad_around, article_around = stack[-1] if stack else ("", False, False)
+                bad = name in BOILERPLATE_TAGS or named_bad or role in BOILERPLATE_ROLES or hidden
                 # A header inside an article holds the article's own heading.
-                if name == "header" and any(s[2] for s in stack) and not names & BOILERPLATE_NAMES:
+                if name == "header" and article_around and not named_bad:
                     bad = False
-                good = name in ("article", "main") or role in ("article", "main") or (name in ("div", "section") and bool(names & ARTICLE_NAMES))
-                if name in ("html", "body") or good and not names & {"comment", "comments", "ad", "ads"}:
+                good = name in ("article", "main") or role in ("article", "main") or (name in ("div", "section") and named_good)
+                if name in ("html", "body") or good and not named_bad:
                     bad = False
-                stack.append((name, bad, good))
+                stack.append((name, bad or bad_around, good or article_around))
+                depth[name] += 1
         elif closing and name in ("p", "li"):
             if stack and stack[-1][0] == name:
-                stack.pop()
+                pop()
     if at < len(page):
         add(page[at:])
     flush()
@@ -170,58 +193,60 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 @dataclass(frozen=True)
 class Limits:
-    """Lengths in characters, densities as shares."""
+    """Lengths in characters, densities as shares; the second link density is for blocks inside an article."""
 
     link: float = 0.33
+    link_inside: float = 0.8
     short: int = 70
     long: int = 200
     stop_low: float = 0.12
     stop_high: float = 0.24
 
 
+def stop_density(text: str) -> float:
+    words = [w for w in (_EDGE.sub("", x).lower() for x in text.split()) if w]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(blocks: list[Block], limits: Limits = Limits()) -> list[str]:
+    """A label for each block: good, bad, or undecided (near good, or short)."""
     structured = any(b.in_article and not b.bad_region for b in blocks)
+    dense = [b.link_chars >= limits.link_inside * len(b.text) for b in blocks]
     labels = []
-    for b in blocks:
-        link = b.link_chars / len(b.text)
+    for i, b in enumerate(blocks):
         if b.bad_region or (structured and not b.in_article):
             labels.append(BAD)
-        elif b.in_article:
-            labels.append(GOOD if link < 0.8 or not b.link_chars else SHORT)
-        elif link > limits.link:
+        elif b.in_article and dense[i]:
+            # A link alone may be the article's own; links one after the other are a list of them.
+            labels.append(BAD if any(0 <= j < len(blocks) and dense[j] and blocks[j].in_article for j in (i - 1, i + 1)) else SHORT)
+        elif not b.in_article and b.link_chars > limits.link * len(b.text):
             labels.append(BAD)
         elif len(b.text) < limits.short or b.heading:
-            labels.append(BAD if b.link_chars and not b.heading else SHORT)
+            labels.append(BAD if b.link_chars and not b.heading and not b.in_article else SHORT)
         else:
-            words = [w for w in (_EDGE.sub("", x).lower() for x in b.text.split()) if w]
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if stop >= limits.stop_high:
+            stop = stop_density(b.text)
+            if stop >= (limits.stop_low if b.in_article else limits.stop_high):
                 labels.append(GOOD if len(b.text) > limits.long else NEAR)
             else:
-                labels.append(NEAR if stop >= limits.stop_low else BAD)
+                labels.append(NEAR if stop >= limits.stop_low else SHORT if b.in_article else BAD)
     return labels
 
 
-def second_pass(labels: list[str]) -> list[str]:
-    """Undecided blocks take the label of the nearest decided block on either side; the page's edges count as bad.
+def second_pass(labels: list[str], edge: str = BAD) -> list[str]:
+    """Undecided blocks take the label of the nearest decided block on either side; ``edge`` stands beyond the ends.
 
     Where the two sides differ, a near-good block is good, a short one goes with the nearer side, on a tie with
     what follows it (a heading belongs to its text).
     """
     n = len(labels)
-    before, after = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n
-    seen, gap = BAD, 0
-    for i, x in enumerate(labels):
-        gap += 1
-        before[i] = (seen, gap)
-        if x in (GOOD, BAD):
-            seen, gap = x, 0
-    seen, gap = BAD, 0
-    for i in range(n - 1, -1, -1):
-        gap += 1
-        after[i] = (seen, gap)
-        if labels[i] in (GOOD, BAD):
-            seen, gap = labels[i], 0
+    before, after = [(edge, 0)] * n, [(edge, 0)] * n
+    for found, places in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        seen, gap = edge, 0
+        for i in places:
+            gap += 1
+            found[i] = (seen, gap)
+            if labels[i] in (GOOD, BAD):
+                seen, gap = labels[i], 0
     out = []
     for x, (left, dl), (right, dr) in zip(labels, before, after, strict=True):
         if x in (GOOD, BAD):
@@ -235,16 +260,31 @@ def second_pass(labels: list[str]) -> list[str]:
     return out
 
 
+def labelled(blocks: list[Block], limits: Limits = Limits()) -> list[str]:
+    """Good or bad for each block, by both passes; boilerplate within an article is no neighbour of its blocks."""
+    first = first_pass(blocks, limits)
+    out = list(first)
+    inside = [i for i, b in enumerate(blocks) if b.in_article and not b.bad_region]
+    outside = [i for i, b in enumerate(blocks) if not b.in_article]
+    for places, edge in ((inside, GOOD), (outside, BAD)):
+        for i, x in zip(places, second_pass([first[i] for i in places], edge), strict=True):
+            out[i] = x
+    return out
+
+
 def main_text(page: str | None, limits: Limits = Limits()) -> str:
     """The main text of one page; null or empty pages have the empty text."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    return " ".join(b.text for b, x in zip(blocks, second_pass(first_pass(blocks, limits)), strict=True) if x == GOOD)
+    return " ".join(b.text for b, x in zip(blocks, labelled(blocks, limits), strict=True) if x == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; each page is handled alone, repeated rows repeat."""
+    """(page_id, url, text, n_chars) of every row; each page is handled alone, in time linear in its length.
+
+    Null and empty pages have the empty text; repeated rows repeat; an empty table gives no rows; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
