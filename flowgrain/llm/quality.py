@@ -14,6 +14,7 @@ of the perplexity of its trusted documents.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, Words, chunks
-from .shared import discard, materialize, python_batches, text_or_empty, with_ids, without_ids
+from .shared import bucketed, discard, materialize, python_batches, shared_dir, text_or_empty, with_ids, without_ids
 
 ORDER, UNIT, AGAIN = 4, 1 << 16, 0x1A
 #: Bytes of text in one block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +190,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, lang, bits): mean bits for each symbol; the perplexity is 2 ** bits. A text without symbols has null."""
-    held = materialize(blocks(docs), "blocks")
+    spark = docs.sparkSession
+    # Bucketed, so that the texts stay where they are and only the answers come to them.
+    held = bucketed(blocks(docs), f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
     asked = held.select("block", F.explode("keys").alias("key"))
     known = materialize(model.probabilities(asked.select("key").distinct()).select("key", (-F.log2("p")).cast("float").alias("bits")), "probabilities")
     answers = asked.join(known, "key").select(F.col("block").alias("of"), "key", "bits")

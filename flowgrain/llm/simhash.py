@@ -76,9 +76,9 @@ def fingerprints(texts: pa.Array, width: int = 4, salts: int = 1, once: bool = F
     for row, end, data, off in chunks(texts):
         words = Words(data, off)
         if once:
-            doc, h = shingle_sets(words, width)
-            out[row:end, salts] = digests(doc, h, end - row)
-            runs = ((i, h[i : i + (1 << 16)]) for i in range(0, len(h), 1 << 16))
+            doc, distinct = shingle_sets(words, width)
+            out[row:end, salts] = digests(doc, distinct, end - row)
+            runs = [(i, distinct[i : i + (1 << 16)]) for i in range(0, len(distinct), 1 << 16)]
         else:
             doc, runs = _shingles(words, width)
         if not len(doc):

@@ -72,6 +72,17 @@ def test_cells_meet_at_the_similarity():
         assert met.mean() >= 0.9, (n, kind, met.mean())
 
 
+def test_fingerprints_of_long_chunks_cover_all_shingles():
+    """More shingles in a chunk than are hashed at once."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"v{i}x{j}" for j in range(4000)) for i in range(20)]
+    whole = simhash.fingerprints(pa.array(texts), 5, 2, True)
+    for i, t in enumerate(texts):
+        assert (simhash.fingerprints(pa.array([t]), 5, 2, True)[0] == whole[i]).all()
+    assert 20 < np.bitwise_count(whole[:-1, 0] ^ whole[1:, 0]).mean() < 44
+
+
 def test_stage_keeps_what_exact_similarity_keeps(spark, monkeypatch):
     from flowgrain.llm import pipeline
 
