@@ -1,34 +1,16 @@
 import random
 
-import numpy as np
-import pyarrow as pa
 from test_decontam import brute as brute_decontam
+from test_near_copies import representatives
 from test_substring import brute as brute_substring
 
-import corpus_pipeline
-from flowgrain.llm import packing, quality, simhash
-from flowgrain.llm.catalog import vocabulary
-from flowgrain.llm.tokens import encoder
+from flowgrain.llm import packing, pipeline, quality
+from flowgrain.llm.tokens import encoder, vocabulary
 
 
 def brute_groups(rows):
-    """doc_id kept of each group of the stage's links, over all pairs (five-word shingles)."""
-    fp = simhash.fingerprints(pa.array([t for _, t in rows]), 5, 4)
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        apart = np.bitwise_count(fp[:i] ^ fp[i]).astype(int)
-        for j in np.flatnonzero((apart.sum(1) <= 42) & (apart.min(1) <= 7)):
-            root[find(int(j))] = find(i)
-    groups = {}
-    for i, (d, _) in enumerate(rows):
-        groups[find(i)] = min(groups.get(find(i), d), d)
-    return set(groups.values())
+    """doc_id kept of each group that pairs of similarity 0.8 connect, over all pairs (five-word shingles)."""
+    return representatives([(d, (t or "").lower().split()) for d, t in rows])
 
 
 def test_every_stage_equals_brute_force(spark, tmp_path):
@@ -53,7 +35,7 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, int(i % 13 != 0), 0) for i in range(0, 160, 2)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
         out = stage(spark, docs, str(tmp_path))
         path = str(tmp_path / name)
@@ -82,7 +64,21 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     for r in after.collect():
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == ids
-    whole = corpus_pipeline.run(spark, str(tmp_path))
+    whole = pipeline.run(spark, str(tmp_path))
     strip = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert strip(whole) == strip(after)
     assert quality.ORDER == 4 and packing.CAPACITY == 4096
+
+
+def test_nulls_repeats_other_columns_and_empty_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, salt int"
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 9, "a", 1), (1, text, "en", "s", 9, "a", 1), (None, text, None, None, None, None, None), (2, None, "en", "s", 0, "b", 2), (3, "", None, "s", 0, "c", 3), (4, "own words " + text, "en", "s", 9, "d", 4)]
+    for name, data in (("some", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if data else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "quite another item of the benchmark with words")] if data else [], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = sorted((r.doc_id or 0, r.piece) for r in pipeline.run(spark, d).collect())
+        # The repeated row and the second empty text are copies; the row without an id passes.
+        assert got == ([(0, 0), (1, 0), (2, 0)] if data else [])
