@@ -139,20 +139,24 @@ class Graph:
 def component_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component) of every node of a table (id) under edges (src, dst), the component being its smallest id.
 
-    Minimum labels spread over the edges, and jump to the label's own label, until nothing changes.
+    Minimum labels spread over the edges, and jump to the label's own label, until nothing changes; raises if ``rounds`` don't do.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
+    labels, before = nodes.select("id", F.col("id").alias("component")).distinct(), None
     for _ in range(rounds):
         heard = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("m"))
         new = labels.join(heard, F.col("id") == F.col("src"), "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
         up = new.select(F.col("id").alias("i"), F.col("m").alias("mm"))
         new = new.join(up, F.col("m") == F.col("i"), "left").select("id", "component", F.least("m", F.coalesce("mm", "m")).alias("m")).persist()
-        changed = new.where("m <> component").limit(1).count()
+        changed = new.where("m <> component").count()
         labels = new.select("id", F.col("m").alias("component"))
+        if before is not None:
+            before.unpersist()
+        before = new
         if not changed:
-            break
-    return labels
+            both.unpersist()
+            return labels
+    raise GraphError(f"components did not settle in {rounds} rounds")
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -345,6 +345,15 @@ def noise(spark, d):
     return outputs(scaling.NormalNoise(0.0, 0.1, seed=3).transform(items(spark, d)), 4, KEY)
 
 
+@query("SELECT count(*) AS n, true AS centred, true AS spread FROM lineitem")
+def noise_limits(spark, d):
+    """Over all rows the added noise has mean zero and standard deviation 0.1, within five standard errors."""
+    clean = items(spark, d, ["l_quantity"]).withColumn("was", F.col("l_quantity").cast("double"))
+    added = scaling.NormalNoise(0.0, 0.1, seed=3).transform(clean).select((parts("x", 1)[0] - F.col("was")).alias("e"))
+    near = lambda c, want: F.abs(c - F.lit(want)) < F.lit(0.5) / F.sqrt(F.count("*"))
+    return added.agg(F.count("*").alias("n"), near(F.avg("e"), 0.0).alias("centred"), near(F.stddev("e"), 0.1).alias("spread"))
+
+
 # Linear models.
 _EIG = """c AS (SELECT avg(l_quantity) AS ma, avg(l_discount * 100) AS mb, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_discount * 100) AS b, var_samp(l_discount * 100) AS d FROM lineitem),
 e AS (SELECT *, (a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l1, (a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2 AS l2 FROM c),
@@ -606,6 +615,34 @@ def cubica(spark, d):
     return outputs(ica.CuBICA().fit_transform(vectors(spark, d, 4)), 4, ["vec_id"])
 
 
+def _covariance_of_outputs(df: DataFrame, n: int) -> DataFrame:
+    """(i, j, c): sample covariances of the vector's parts over all rows, by Spark's own aggregates."""
+    x = parts("x", n)
+    flat = df.select(*[c.alias(f"y{i}") for i, c in enumerate(x)])
+    sums = flat.agg(*[F.covar_samp(f"y{i}", f"y{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n)])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r(F.col(f"c{i}_{j}"), 3).alias("c")) for i in range(n) for j in range(n)]))
+    return sums.select(rows.alias("r")).select("r.*")
+
+
+# The outputs of independent components have unit variance and no correlation, whatever rotation was found.
+_IDENTITY = "SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, CASE WHEN a.i = b.j THEN 1.0 ELSE 0.0 END::DOUBLE AS c FROM range(4) a(i), range(4) b(j)"
+
+
+@query(_IDENTITY)
+def fastica_covariance(spark, d):
+    return _covariance_of_outputs(ica.FastICA("symm", limit=1e-4, max_it=40).fit_transform(vectors(spark, d, 4)), 4)
+
+
+@query(_IDENTITY)
+def jade_covariance(spark, d):
+    return _covariance_of_outputs(ica.JADE().fit_transform(vectors(spark, d, 4)), 4)
+
+
+@query(_IDENTITY)
+def cubica_covariance(spark, d):
+    return _covariance_of_outputs(ica.CuBICA().fit_transform(vectors(spark, d, 4)), 4)
+
+
 @query()
 def isfa(spark, d):
     return outputs(slow.ISFA(2, order="us", chunk="user_id").fit_transform(_series(spark, d)), 2, ["event_id"])
@@ -716,10 +753,20 @@ def online_flow(spark, d):
     return outputs(flow.fit(vectors(spark, d, 4)).transform(vectors(spark, d, 4)), 2, ["vec_id"])
 
 
-@query()
+def _at(row: int, column: int) -> str:
+    return f"embedding[{8 * row + column + 1}]::DOUBLE"
+
+
+_WINDOWS = [(i, j) for i in range(7) for j in range(7)]
+_DIAGONAL = [f"{_at(i + 1, j + 1)} - {_at(i, j)}" for i, j in _WINDOWS]
+_MEAN = [f"({_at(i, j)} + {_at(i, j + 1)} + {_at(i + 1, j)} + {_at(i + 1, j + 1)}) / 4" for i, j in _WINDOWS]
+
+
+@query(f"SELECT vec_id, {sql_cols(_DIAGONAL + _MEAN)} FROM embeddings")
 def convolution(spark, d):
+    """Both filters at all 49 places of the 8 × 8 images."""
     node = routing.Convolution2D(np.array([[[1.0, 0], [0, -1]], [[0.25] * 2] * 2]), (8, 8), mode="valid")
-    return outputs(node.transform(vectors(spark, d)), 8, ["vec_id"])
+    return outputs(node.transform(vectors(spark, d)), 98, ["vec_id"])
 
 
 @query()
