@@ -70,7 +70,8 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 1 << 22:
+        # Those of a very long text are not kept: a process would hold them for good.
+        if size <= 2 * CHUNK:
             _POWERS[which] = have
     return have[0][:n], have[1][:n]
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, rolling
-from .shared import materialize, python_batches, text_or_empty, without_ids
+from .shared import frugal, materialize, python_batches, text_or_empty, without_ids
 
 #: Bytes between words: all ASCII signs, white space and controls.
 SIGNS = np.ones(256, bool)
@@ -284,6 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recal
 
 
 def _finder(shared, rate: float, recall: float, sampled: int, seed: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value, rate, recall, sampled, seed)
         names = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import spans
-from .shared import discard, materialize, python_batches, text_or_empty
+from .shared import discard, frugal, materialize, python_batches, text_or_empty
 from .tokens import encoder, ragged
 
 CAPACITY, END = 4096, 1
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     """
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for b in batches:

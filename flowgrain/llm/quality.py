@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import SPACE, Words, chunks
-from .shared import bucketed, discard, materialize, python_batches, shared_dir, text_or_empty, with_ids, without_ids
+from .shared import bucketed, discard, frugal, give_back, materialize, python_batches, shared_dir, text_or_empty, with_ids, without_ids
 
 ORDER, UNIT, AGAIN = 4, 1 << 16, 0x1A
 #: Bytes of text in one block.
@@ -101,6 +101,7 @@ def ngrams(stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(key, n) of all documents: each batch counts what it reads, Spark sums by n-gram."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [ngrams(*symbols(data, off))[0] for _, _, data, off in chunks(b.column(0))]
@@ -162,6 +163,7 @@ class KneserNey:
 def blocks(docs: DataFrame) -> DataFrame:
     """(block, body, keys): documents in blocks, compressed as they are, and the distinct n-grams of each block."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, keys, size = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -208,6 +210,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
                     n = np.bincount(doc, minlength=end - row)
                     total = np.bincount(doc, bits[index.get_indexer(key)] if len(key) else None, end - row)
                     out.append(pa.record_batch([b.column(0).slice(row, end - row), b.column(1).slice(row, end - row), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)], ["doc_id", "lang", "bits"]))
+        give_back()
         return pa.Table.from_batches(out)
 
     schema = "doc_id bigint, lang string, bits double"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Words, chunks, inside_document, mix, xxh64
 from .components import connected_components, forest
-from .shared import discard, materialize, python_batches, salt, salted_totals, salts_of, text_or_empty
+from .shared import discard, frugal, materialize, python_batches, salt, salted_totals, salts_of, text_or_empty
 
 SEED, SEGMENTS = 42, 32
 #: Points of a cell that one part holds.
@@ -107,6 +107,7 @@ def with_fingerprint(docs: DataFrame, width: int = 4, salts: int = 1, once: bool
     """(doc_id, t, fp, …) of every row, t being a hash of the text, with ``once`` also its ``digest``; a null text has no words and the fingerprint zero."""
     names = columns(salts) + ["digest"] * once
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = fingerprints(b.column(2), width, salts, once).view(np.int64)
@@ -206,6 +207,7 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
     if blocks * (reach + 1) - 1 < most or reach not in (0, 1, 2):
         raise ValueError(f"{blocks} blocks of reach {reach} do not cover {most} bits")
 
+    @frugal
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 8192):
@@ -223,6 +225,7 @@ def fingerprint_links(points: DataFrame, most: int = 4, blocks: int = 3, reach:
         .select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("unit"), "home", "fp")
     )
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, home, fp in whole_units(batches):
             yield pa.record_batch([pa.array(x) for x in links_of_units(unit, home, fp, most)], ["u", "v"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import Words, chunks, inside_document, rolling
-from .shared import bucketed, discard, materialize, open_bucketed, python_batches, salt, salted_totals, salts_of, shared_dir, sifted, text_or_empty
+from .shared import bucketed, discard, frugal, materialize, open_bucketed, python_batches, salt, salted_totals, salts_of, shared_dir, sifted, text_or_empty
 
 WIDTH, GRAM = 50, 16
 #: Runs of one level that are merged into one of the next, and batches into which a whole table is cut.
@@ -87,6 +87,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def profiles(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """For each row: doc_id, t, n_words, two numbers and the whole of the SHA-256 of its word sequence, distinct fingerprints."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, data, off in chunks(b.column(2)):
@@ -111,6 +112,7 @@ def profiles(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
 def _matching_windows(texts: DataFrame, width: int) -> DataFrame:
     """(w0, w1, rank, doc_id, t, pos) of each window whose fingerprint is in the row's list ``prints``; w0, w1: digest of its words."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(4)
@@ -138,6 +140,7 @@ def _matching_windows(texts: DataFrame, width: int) -> DataFrame:
 def _cut(texts: DataFrame, width: int, with_text: bool) -> DataFrame:
     """(doc_id, t, n_removed, sha[, kept_text]) after the words of the windows at ``starts`` are taken out."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, end, data, off in chunks(b.column(2)):
