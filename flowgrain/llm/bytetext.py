@@ -48,7 +48,7 @@ def chunks(array: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         row = end
 
 
-def spans(array: pa.Array, size: int = 8 * CHUNK) -> Iterator[tuple[int, int]]:
+def spans(array: pa.Array, size: int = 2 * CHUNK) -> Iterator[tuple[int, int]]:
     """(first row, end row) of runs of rows of about ``size`` bytes of text."""
     off = flatten(array)[1]
     row, n = 0, len(off) - 1

@@ -15,6 +15,7 @@ word, texts with special tokens or U+001C to U+001F as a whole; other vocabulary
 from __future__ import annotations
 
 import json
+import os
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -276,5 +277,9 @@ def vocabulary() -> str:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """The process's encoder of a vocabulary file."""
+    """The process's encoder of a vocabulary file.
+
+    The library's own threads are off: a task has one core, and every thread would hold memory of its own.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
