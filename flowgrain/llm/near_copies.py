@@ -4,13 +4,15 @@ At a Jaccard similarity of 0.8 about 15 % of the bits of two fingerprints differ
 scrambled shingle hashes, ``SALTED`` of them) are taken together, cut into segments of two bits and mapped to the bit
 counts of the segments. A table of the grid takes some segments by a fixed choice, and documents with the same
 counts there meet in a cell: the sub-vectors' Manhattan distance, a lower bound of the Hamming distance, is zero. There are
-as many tables as it takes for the wanted recall at the similarity. Cells that hold many points are cut by further segments.
-
-In a cell the whole fingerprints are compared, and of the pairs within the bit limit a lightest spanning forest is kept: a
-link between two documents that the forest leaves out leads over others that are nearer to each other. The forests of all
-cells are joined to one for each connected group; the pairs of that forest are verified by the shingles themselves.
-What candidates are left between verified groups are verified, too, so no candidate that could connect two groups is dropped.
-Every step's work is linear in the number of documents and candidates: no group is compared all with all.
+as many tables as it takes for the wanted recall at the similarity.
+
+Links are found in two passes. The first is quick: cells that hold many points are cut by further segments, whole fingerprints
+are compared in what is left, and of the pairs within the bit limit a lightest spanning forest is verified by the shingles
+themselves. Copies and most near copies are then in one verified group. The second pass leaves nothing out: in every
+cell, uncut, all points of different verified groups are compared, and all pairs within the bit limit are verified. So the
+groups are those that all pairs would give that meet in a cell within the limit and are similar enough, however cells are dealt to
+tasks. Pairs within a verified group are not compared again; between groups the second pass takes as many comparisons as
+cells have pairs, in units of bounded size.
 """
 
 from __future__ import annotations
@@ -69,14 +71,17 @@ def cells(prints: np.ndarray, tables: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield cell, key
 
 
-def finer(cell: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """New cells: those of more than ``DENSE`` points are cut by further segments, until they are smaller or ``TIMES`` are over."""
+def finer(cell: np.ndarray, prints: np.ndarray, most: int = DENSE) -> np.ndarray:
+    """New cells: those of more than ``most`` points are cut by further segments, until they are smaller or ``TIMES`` are over.
+
+    Pairs that this parts are left to :func:`apart`.
+    """
     cell = cell.view(np.uint64).copy()
     counts = popcounts(prints)
     segments = np.random.default_rng(77).permutation(SALTED * SEGMENTS)[: DEEPER * TIMES]
     for step in np.split(segments, TIMES):
         _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
-        dense = np.flatnonzero(n[at] > DENSE)
+        dense = np.flatnonzero(n[at] > most)
         if not len(dense):
             break
         key = cell[dense]
@@ -86,19 +91,37 @@ def finer(cell: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return cell
 
 
-def proposed(cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def proposed(cell: np.ndarray, most: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs to compare: all pairs of a cell (cells are sorted), but of a dense one each row with the next and with the first.
 
     A cell that is still dense agrees in all segments that it was cut by: its points are almost the same, so both their
-    chain and their star connect them, with pairs as many as there are points.
+    chain and their star connect most of them, with pairs as many as there are points. Other pairs are left to :func:`apart`.
     """
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(cell)])
     head, n = np.repeat(first, size), np.repeat(size, size)
-    dense = np.flatnonzero((n > DENSE) & (np.arange(len(cell)) > head))
+    dense = np.flatnonzero((n > most) & (np.arange(len(cell)) > head))
     yield dense - 1, dense
     yield head[dense], dense
-    yield from pairs_of_units(cell, np.flatnonzero(n <= DENSE))
+    yield from pairs_of_units(cell, np.flatnonzero(n <= most))
+
+
+def within(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows that differ by at most ``limit`` bits of all fingerprints, with the bits."""
+    bits = np.zeros(len(i), np.int32)
+    for p in prints:
+        bits = bits + np.bitwise_count((p[i] ^ p[j]).view(np.uint64))
+        if p is prints[0]:
+            continue  # strangers pass the first
+        near = np.flatnonzero(bits <= limit)
+        i, j, bits = i[near], j[near], bits[near]
+        if not len(i):
+            break
+    return i, j, bits
+
+
+def prints_of(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(SALTED)], 1)
 
 
 def candidates(points: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -106,9 +129,6 @@ def candidates(points: DataFrame, similarity: float, recall: float) -> DataFrame
     tables, limit, names = tables_needed(similarity, recall), bit_limit(similarity), columns(SALTED)
     fine = np.uint64(4**FURTHER)
 
-    def prints_of(b: pa.RecordBatch) -> np.ndarray:
-        return np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(SALTED)], 1)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = prints_of(b)
@@ -136,7 +156,7 @@ def candidates(points: DataFrame, similarity: float, recall: float) -> DataFrame
     @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, *prints, digest in whole_units(batches):
-            cell = finer(cell, np.stack(prints, 1).view(np.uint64))
+            cell = finer(cell, np.stack(prints, 1).view(np.uint64), DENSE)
             order = np.lexsort((digest, prints[0], cell))
             cell, digest, prints = cell[order], digest[order], [p[order] for p in prints]
             u, v, d, held = [digest[:0]], [digest[:0]], [np.zeros(0, np.int32)], 0
@@ -146,19 +166,11 @@ def candidates(points: DataFrame, similarity: float, recall: float) -> DataFrame
                 keep = lightest_forest(np.minimum(a, b), np.maximum(a, b), w)
                 u[:], v[:], d[:] = [a[keep]], [b[keep]], [w[keep]]
 
-            for i, j in proposed(cell):
-                apart = np.bitwise_count((prints[0][i] ^ prints[0][j]).view(np.uint64)).astype(np.int32)
-                # One of the fingerprints sifts first: half of its bits differ between strangers.
-                near = np.flatnonzero((apart <= 28) & (digest[i] != digest[j]))
-                if not len(near):
-                    continue
-                i, j, apart = i[near], j[near], apart[near]
-                for p in prints[1:]:
-                    apart = apart + np.bitwise_count((p[i] ^ p[j]).view(np.uint64))
-                near = apart <= limit
-                u.append(digest[i[near]])
-                v.append(digest[j[near]])
-                d.append(apart[near].astype(np.int32))
+            for i, j in proposed(cell, DENSE):
+                i, j, bits = within(prints, i, j, limit)
+                u.append(digest[i])
+                v.append(digest[j])
+                d.append(bits)
                 held += len(u[-1])
                 if held > 1 << 20:
                     thin()
@@ -171,6 +183,115 @@ def candidates(points: DataFrame, similarity: float, recall: float) -> DataFrame
     return materialize(found.distinct(), "candidates")
 
 
+def across(unit: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within units of rows of different runs; rows are sorted by unit and run."""
+    if not len(unit):
+        return
+    ends = np.r_[np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
+    other = np.r_[np.flatnonzero((unit[1:] != unit[:-1]) | (run[1:] != run[:-1])) + 1, len(unit)]
+    place = np.arange(len(unit))
+    end, at = ends[np.searchsorted(ends, place, "right")], other[np.searchsorted(other, place, "right")]
+    live = np.flatnonzero(at < end)
+    while len(live):
+        yield live, at[live]
+        at[live] += 1
+        live = live[at[live] < end[live]]
+
+
+class Crowds:
+    """How cells with many points are dealt in parts: ``big`` holds (cell, root, points), ``rest`` (cell, points of all other groups).
+
+    A group of more than ``most`` points in a cell has parts of its own, which never meet each other; all other groups
+    share parts, a group being whole in one. Every two other parts are a unit, and so is every shared part with itself.
+    """
+
+    def __init__(self, big: list[tuple[int, int, int]], rest: list[tuple[int, int]], most: int):
+        self.shared = {c: max(1, -(-n // most)) for c, n in rest}
+        self.parts, self.big = dict(self.shared), {}
+        for c, r, n in big:
+            self.big[c, r] = (self.parts[c], -(-n // most))
+            self.parts[c] += -(-n // most)
+        self.cells = np.array(sorted(self.parts), np.int64)
+
+    def deal(self, cell: np.ndarray, root: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, unit, run) of every row of the units that the points are in."""
+        hot = np.isin(cell, self.cells)
+        at = np.flatnonzero(hot)
+        if not len(at):
+            return np.arange(len(cell)), cell, root
+        c, r = cell[at], root[at]
+        first, n = np.array([self.big.get(k, (0, 0)) for k in zip(c.tolist(), r.tolist(), strict=True)], np.int64).T
+        shared, parts = np.array([(self.shared[x], self.parts[x]) for x in c.tolist()], np.int64).T
+        own = np.where(n > 0, first + digest[at] % np.maximum(n, 1), r % shared)
+        count = parts - n
+        other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at, own, c, r, first, n = (np.repeat(x, count) for x in (at, own, c, r, first, n))
+        other += np.where((n > 0) & (other >= first), n, 0)
+        low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+        unit = mix(c.view(np.uint64) + mix((low << np.uint64(32)) + high + np.uint64(1))).view(np.int64)
+        # In a unit of two parts only pairs between them count, in a part by itself those between groups.
+        run, cold = np.where(own == other, r, own), np.flatnonzero(~hot)
+        return np.r_[cold, at], np.r_[cell[cold], unit], np.r_[root[cold], run]
+
+
+def apart(points: DataFrame, label: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(u, v, d): all pairs of digests of different groups (node, root) that meet in an uncut cell within the bit limit."""
+    tables, limit, names = tables_needed(similarity, recall), bit_limit(similarity), columns(SALTED)
+    rooted = points.join(label, F.col("digest") == F.col("node"), "left").select(*names, "digest", F.coalesce("root", "digest").alias("root"))
+    rooted = materialize(rooted, "rooted")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, _ in cells(prints_of(b), tables):
+                yield pa.record_batch([pa.array(cell.view(np.int64)), b.column(SALTED)], ["cell", "root"])
+
+    some = rooted.where(F.pmod(F.xxhash64("digest"), F.lit(COUNTED)) == 0).select(*names, "root")
+    by_group = materialize(some.mapInArrow(count, "cell bigint, root bigint").groupBy("cell", "root").agg((F.count("*") * COUNTED).alias("n")), "counts")
+    # What reaches the driver are cells and groups of over CROWDED points: at most tables / CROWDED of the points' number.
+    crowded = by_group.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED)
+    big = by_group.where(F.col("n") > CROWDED)
+    rest = crowded.join(big.groupBy("cell").agg(F.sum("n").alias("held")), "cell", "left").select("cell", (F.col("n") - F.coalesce("held", F.lit(0))).alias("n"))
+    crowds = Crowds([(r.cell, r.root, r.n) for r in big.collect()], [(r.cell, r.n) for r in rest.collect()], CROWDED)
+    shared = points.sparkSession.sparkContext.broadcast(crowds)
+
+    @frugal
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(0, b.num_rows, 8192):
+                part = b.slice(row, 8192)
+                digest, root = (part.column(SALTED + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                for cell, _ in cells(prints_of(part), tables):
+                    at, unit, run = shared.value.deal(cell.view(np.int64), root, digest)
+                    own = part.select([*names, "digest"]).take(pa.array(at))
+                    yield pa.record_batch([pa.array(unit), pa.array(run), *own.columns], ["unit", "run", *names, "digest"])
+
+    @frugal
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, run, *prints, digest in whole_units(batches):
+            u, v, d, held = [], [], [], 0
+
+            def met() -> pa.RecordBatch:
+                a, b = np.concatenate([digest[:0], *u]), np.concatenate([digest[:0], *v])
+                return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate([np.zeros(0, np.int32), *d]))], ["u", "v", "d"])
+
+            for i, j in across(unit, run):
+                i, j, bits = within(prints, i, j, limit)
+                u.append(digest[i])
+                v.append(digest[j])
+                d.append(bits)
+                held += len(i)
+                if held > 1 << 17:
+                    yield met()
+                    u, v, d, held = [], [], [], 0
+            yield met()
+
+    dealt = rooted.mapInArrow(spread, "unit bigint, run bigint, " + ", ".join(f"{n} bigint" for n in [*names, "digest"]))
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "run").mapInArrow(find, "u bigint, v bigint, d int")
+    out = materialize(found.distinct(), "apart")
+    discard(rooted, by_group)
+    return out
+
+
 def units(edges: DataFrame, roots: DataFrame, thin: bool) -> DataFrame:
     """(u, v, unit): the edges, or with ``thin`` a lightest spanning forest of each group, in units of ``UNIT`` of one group."""
     rooted = edges.join(roots.withColumnRenamed("node", "u"), "u").select("root", "u", "v", "d")
@@ -265,15 +386,13 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, r
     roots = materialize(reached(edges), "reached")
     pairs = units(edges, roots, True)
     links = verified(docs, points, pairs, width, similarity)
-    # What candidates lead from one verified group to another were left out of the forest, or are alike by it only.
     label = materialize(reached(links), "reached")
-    own, other = label.select(F.col("node").alias("u"), F.col("root").alias("a")), label.select(F.col("node").alias("v"), F.col("root").alias("b"))
-    rest = edges.join(pairs.select("u", "v"), ["u", "v"], "left_anti").join(own, "u", "left").join(other, "v", "left")
-    rest = materialize(rest.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v", "d"), "rest")
-    second = units(rest, roots, False)
+    rest = materialize(apart(points, label, similarity, recall).join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    among = materialize(reached(rest), "reached")
+    second = units(rest, among, False)
     more = verified(docs, points, second, width, similarity)
     out = grouped(prints.select("doc_id", "t", "digest"), points, links.unionByName(more), "digest").select("doc_id", "t", "component_id")
-    discard(edges, roots, pairs, links, label, rest, second, more, points)
+    discard(edges, roots, pairs, links, label, rest, among, second, more, points)
     return out
 
 

@@ -122,6 +122,44 @@ def test_crowded_cells_and_a_large_group(spark, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_one_of_each_group(df).collect()} == {0, 1000}
 
 
+def test_dense_cells_lose_no_pair(spark, monkeypatch):
+    """However soon cells are cut, and in whatever parts they are dealt, the groups are those of cells that are compared whole."""
+    rng = random.Random(11)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, hub = [], new(150)
+    for i in range(120):
+        a, n = new(150), rng.randrange(7, 13)
+        rows += [(10 * i, a), (10 * i + 1, a[: 150 - n] + new(n))]
+    # A chain: each has a similarity over 0.8 to the next and a lower one to those after it.
+    rows += [(5000 + i, hub[12 * i :] + new(12 * i)) for i in range(6)]
+    rows += [(8000 + i, [*rows[0][1][:75], f"n{i}", *rows[0][1][76:]]) for i in range(40)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string").persist()
+    groups = lambda: sorted((r.doc_id, r.component_id) for r in near_copies.near_copy_groups(df).collect())
+    want = groups()
+    exact = representatives(rows)
+    kept = {d for d, c in want if c == d}
+    assert kept >= exact and len(kept - exact) <= 0.03 * len(exact)
+    monkeypatch.setattr(near_copies, "DENSE", 0)
+    assert groups() == want
+    monkeypatch.setattr(near_copies, "CROWDED", 3)
+    monkeypatch.setattr(near_copies, "COUNTED", 1)
+    assert groups() == want
+
+
+def test_parts_of_crowded_cells_hold_every_pair_of_groups_once():
+    rng = np.random.default_rng(2)
+    digest = rng.integers(-(2**62), 2**62, 300)
+    cell = rng.integers(0, 3, 300) - 1
+    root = np.where(rng.random(300) < 0.5, 7 + cell, digest)
+    crowds = near_copies.Crowds([(c, 7 + c, int(((cell == c) & (root == 7 + c)).sum())) for c in (-1, 0)], [(c, int(((cell == c) & (root != 7 + c)).sum())) for c in (-1, 0)], 20)
+    at, unit, run = crowds.deal(cell, root, digest)
+    order = np.lexsort((run, unit))
+    at, unit, run = at[order], unit[order], run[order]
+    got = sorted(tuple(sorted((int(at[x]), int(at[y])))) for i, j in near_copies.across(unit, run) for x, y in zip(i, j, strict=True))
+    want = [(i, j) for i in range(300) for j in range(i + 1, 300) if cell[i] == cell[j] and root[i] != root[j]]
+    assert got == want
+
+
 def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(3, text), (1, text + " x"), (2, "other words here"), (1, text + " x"), (None, text), (9, None), (8, ""), (2, text + " y"), (4, "long " * 30_000)]
