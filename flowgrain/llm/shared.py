@@ -130,6 +130,15 @@ def frugal(run: Callable) -> Callable:
     return whole
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have every executor's JVM collect and return the heap that it has grown by: it keeps it otherwise, beside Python workers that need it.
+
+    One short task for each core; each asks for a full collection, after which the heap shrinks to what lives.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """A text column without nulls."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

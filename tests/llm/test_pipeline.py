@@ -82,3 +82,17 @@ def test_nulls_repeats_other_columns_and_empty_tables(spark, tmp_path):
         got = sorted((r.doc_id or 0, r.piece) for r in pipeline.run(spark, d).collect())
         # The repeated row and the second empty text are copies; the row without an id passes.
         assert got == ([(0, 0), (1, 0), (2, 0)] if data else [])
+
+
+def test_stages_begin_with_small_heaps(spark):
+    """In local mode the executor's heap is the driver's; what a stage left behind is gone when the next one begins."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
+    spark.range(2_000_000).selectExpr("sum(length(repeat(cast(id as string), 50)))").collect()
+    used, before = heap.totalMemory() - heap.freeMemory(), beans()
+    pipeline.best_fit_packing(spark, docs, "").count()
+    assert beans() > before
+    pipeline.shrink_heaps(spark)
+    assert heap.totalMemory() - heap.freeMemory() < used
+    assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "substring dedup", "benchmark decontamination", "best-fit packing"]
