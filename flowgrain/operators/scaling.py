@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -199,9 +199,9 @@ def mean_squared_difference(df: DataFrame, order: str, chunk: str | None = None,
     return list(r)
 
 
-def _gapped(values: list[tuple[int, float]], n: int, gap: int, sign: float) -> list[tuple[float, int]]:
-    """One ordered pass: up to n extremes, no two within ``gap`` rows; a better one replaces a near one, else the worst."""
-    held: list[list[float]] = []
+def _gapped(values: list[tuple[int, float]], n: int, gap: int, sign: float, held: list[list] | None = None) -> list[tuple[float, int]]:
+    """One ordered pass: up to n extremes, no two within ``gap`` rows; a better one replaces a near one, else the worst. ``held`` is taken over and kept up to date."""
+    held = [] if held is None else held
     for at, x in values:
         near = next((h for h in held if at - h[1] < gap), None)
         if near is not None:
@@ -216,14 +216,45 @@ def _gapped(values: list[tuple[int, float]], n: int, gap: int, sign: float) -> l
     return [(x, int(at)) for x, at in sorted(held, key=lambda h: (-sign * h[0], h[1]))]
 
 
+def _floors(best: np.ndarray, n: int) -> np.ndarray:
+    """For each bin of rows in order a value that the worst of n held ones has at least when the bin begins; -inf where none is known.
+
+    ``best`` is the largest value of each bin (-inf: no rows); bins are not shorter than the gap. Rows of c or more that an
+    emptier bin parts are too far apart to share a held value, and no held value of c or more is ever given up for a
+    smaller one. So once n such runs of bins have passed, the worst held value is c or more.
+    """
+    out, floor, open_ = np.full(len(best), -np.inf), -np.inf, np.zeros(0, np.int64)
+    for k in range(len(best)):
+        out[k] = floor
+        if best[k] <= floor:
+            continue
+        open_ = np.r_[open_, k]
+        order = np.argsort(-best[open_], kind="stable")
+        rank = np.full(k + 3, len(best))
+        rank[open_[order] + 1] = np.arange(len(order))
+        at = open_[order] + 1
+        runs = np.cumsum(1 - (rank[at - 1] < rank[at]) - (rank[at + 1] < rank[at]).astype(int))
+        value = best[open_[order]]
+        whole = np.r_[value[1:] != value[:-1], True]
+        enough = np.flatnonzero(whole & (runs >= n))
+        if len(enough):
+            floor = value[enough[0]]
+            open_ = open_[best[open_] > floor]
+    return out
+
+
 class HitParade(Node):
     """The n largest and smallest values of each variable with their row order, at least ``gap`` rows apart.
 
     Without a gap (gap <= 1) this is a distributed top-n. With one, the result depends on the order of rows: each
-    variable is folded in order by one task, which holds n values and streams the rest.
+    variable is folded in order. Rows that cannot change what is held are left out before: the extremes of up to ``BINS``
+    bins of the order bound the worst held value from below for every bin. What is left is a stream through one task for a
+    variable, which holds n values; in a series that rises all along that is every row. Null and NaN values and rows without
+    an order are left out.
     """
 
     trainable = True
+    BINS = 4096
 
     def __init__(self, n: int, gap: int = 1, order: str = "t", column: str = "x"):
         super().__init__(column)
@@ -240,17 +271,37 @@ class HitParade(Node):
                 setattr(self, name, [[(r.x, r.t) for r in rows if r.v == v] for v in range(d)])
             return
 
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t")
-            values = list(zip(pdf["t"].tolist(), pdf["x"].tolist(), strict=True))
-            v = int(pdf["v"].iloc[0])
-            rows = [(v, s, x, at) for s in (1, -1) for x, at in _gapped(values, n, gap, float(s))]
-            return pd.DataFrame(rows, columns=["v", "s", "x", "t"])
-
-        rows = long.groupBy("v").applyInPandas(fold, "v int, s int, x double, t bigint").collect()
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[list]] = {}
+            for pdf in batches:
+                for v, own in pdf.groupby("v"):
+                    both = held.setdefault(v, [[], []])
+                    values = list(zip(own["t"].tolist(), own["x"].tolist(), strict=True))
+                    for one, sign in zip(both, (1.0, -1.0), strict=True):
+                        _gapped(values, n, gap, sign, one)
+            rows = [(v, s, x, at) for v, both in held.items() for one, s in zip(both, (1, -1), strict=True) for x, at in one]
+            yield pd.DataFrame(rows, columns=["v", "s", "x", "t"])
+
+        some = self._may_change(long.withColumn("x", F.col("x").cast("double")).where("t is not null and x is not null and not isnan(x)"))
+        rows = some.repartition("v").sortWithinPartitions("v", "t", "x").mapInPandas(fold, "v int, s int, x double, t bigint").collect()
         d = max((r.v for r in rows), default=-1) + 1
         for name, s in (("maxima", 1), ("minima", -1)):
             setattr(self, name, [sorted([(r.x, r.t) for r in rows if r.v == v and r.s == s], key=lambda h, s=s: (-s * h[0], h[1])) for v in range(d)])
 
+    def _may_change(self, long: DataFrame) -> DataFrame:
+        """The rows (t, v, x) that are above the floor or below the ceiling of their bin."""
+        first, last = long.agg(F.min("t"), F.max("t")).first()
+        if first is None:
+            return long
+        width = max(self.gap, (last - first) // self.BINS + 1)
+        bins = (last - first) // width + 1
+        binned = long.withColumn("bin", F.expr(f"(t - {first}L) div {width}L").cast("int"))
+        best: dict[int, np.ndarray] = {}
+        for r in binned.groupBy("v", "bin").agg(F.max("x").alias("high"), F.min("x").alias("low")).collect():
+            best.setdefault(r.v, np.full((2, bins), -np.inf))[:, r.bin] = r.high, -r.low
+        bounds = [(v, k, float(a), float(-b)) for v, m in best.items() for k, (a, b) in enumerate(zip(_floors(m[0], self.n), _floors(m[1], self.n), strict=True))]
+        table = long.sparkSession.createDataFrame(pd.DataFrame(bounds, columns=["v", "bin", "floor", "ceiling"]), "v int, bin int, floor double, ceiling double")
+        return binned.join(F.broadcast(table), ["v", "bin"]).where("floor = double('-inf') or x > floor or ceiling = double('inf') or x < ceiling").select("t", "v", "x")
+
     def _column(self, x):
         return F.col(x)

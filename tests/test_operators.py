@@ -155,6 +155,23 @@ def test_hit_parade_with_a_gap(spark):
     assert node.maxima[0] == [(10.0, 12), (8.0, 100), (7.0, 200)]
 
 
+@pytest.mark.parametrize("bins", [7, 50, 4096])
+def test_hit_parade_with_a_gap_is_the_fold_of_all_rows(spark, monkeypatch, bins):
+    monkeypatch.setattr(scaling.HitParade, "BINS", bins)
+    rng = np.random.default_rng(bins)
+    x = np.stack([rng.standard_normal(3000), rng.integers(0, 12, 3000), np.arange(3000.0), np.cumsum(rng.standard_normal(3000))], 1)
+    df = frame(spark, x)
+    df = df.select((F.col("t") * 3 - 2000).alias("t"), "x").unionByName(spark.createDataFrame([(0, [None, float("nan"), None, None]), (None, [9e9] * 4)], "t long, x array<double>"))
+    for n, gap in ((1, 2), (4, 7), (5, 40)):
+        node = scaling.HitParade(n, gap).fit(df.repartition(3))
+        for v in range(4):
+            values = list(zip((np.arange(3000) * 3 - 2000).tolist(), x[:, v].tolist(), strict=True))
+            assert node.maxima[v] == scaling._gapped(values, n, gap, 1.0) and node.minima[v] == scaling._gapped(values, n, gap, -1.0)
+    long = df.select("t", F.posexplode("x").alias("v", "x")).where("t is not null and v = 0 and x is not null")
+    if bins == 50:
+        assert scaling.HitParade(2, 7)._may_change(long).count() < 1500
+
+
 def test_order_statistics_and_cutoff(spark):
     x = np.array([[4.0, 1], [2, 2], [3, 3], [1, 4], [6, 5], [5, 6]])
     node = scaling.AdaptiveCutoff(1 / 3, 0.2).fit(frame(spark, x))
