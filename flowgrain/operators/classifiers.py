@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,51 +136,177 @@ class KMeans(Classifier):
         return [(i, -total([(c - F.lit(float(m))) * (c - F.lit(float(m))) for c, m in zip(p, mean, strict=True)])) for i, mean in enumerate(self.centroids)]
 
 
+class _Cells:
+    """A k-d tree over some vectors: it gives every vector a cell. ``low`` and ``high`` are the exact bounds of the training rows in each."""
+
+    def __init__(self, some: np.ndarray, leaf: int):
+        self.dim, self.split, self.next, self.cells = [], [], [], 0
+        todo = [(np.arange(len(some)), -1, 0)]
+        while todo:
+            at, parent, side = todo.pop()
+            node = len(self.dim)
+            if parent >= 0:
+                self.next[parent][side] = node
+            x = some[at]
+            wide = int(np.argmax(x.max(0) - x.min(0))) if len(at) > leaf else 0
+            if len(at) <= leaf or not x[:, wide].max() > x[:, wide].min():
+                self.dim.append(-1)
+                self.split.append(float(self.cells))
+                self.next.append([-1, -1])
+                self.cells += 1
+                continue
+            v = x[:, wide]
+            cut = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+            cut = v[v < cut].max() if cut == v.max() else cut
+            self.dim.append(wide)
+            self.split.append(float(cut))
+            self.next.append([-1, -1])
+            todo += [(at[v <= cut], node, 0), (at[~(v <= cut)], node, 1)]
+
+    def walk(self, x: np.ndarray, r2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position, cell): the cell of each row, or with ``r2`` all cells that may hold a training row within that squared distance."""
+        rows, cells, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [(0, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            j = self.dim[node]
+            if j >= 0:
+                under = x[at, j] <= self.split[node]
+                both = False if r2 is None else (x[at, j] - self.split[node]) ** 2 <= r2[at]
+                todo += [(self.next[node][0], at[under | both]), (self.next[node][1], at[~under | both])]
+                continue
+            c = int(self.split[node])
+            if r2 is not None:
+                # Rounded as the distances are, in the same order, so never above that of a row in the bounds.
+                off = np.fmax(np.fmax(self.low[c] - x[at], x[at] - self.high[c]), 0.0)
+                at = at[_squares(off.T) <= r2[at]]
+            rows.append(at)
+            cells.append(np.full(len(at), c))
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _squares(parts) -> np.ndarray:
+    """The sum of squares, added from the first part to the last."""
+    out = 0.0
+    for p in parts:
+        out = out + p * p
+    return out
+
+
 class KNN(Classifier):
     """Majority of the k nearest training rows; ties of distance and of votes go to the smaller label.
 
-    Training rows stay a table. Queries meet them block by block: both sides are dealt into parts by hash, each pair of
-    parts is one task's matrix product, which returns the k nearest of its part for each of its queries; a second
-    step takes the k nearest over the parts. No part grows with the data.
+    Exact, without comparing all with all: a k-d tree over a bounded sample of the training rows deals both sides into cells.
+    Each query first finds the k nearest in its own cell, then goes to those other cells whose bounds are not further away than
+    the k-th of these. Equal vectors count once on both sides (of training rows the k smallest labels, as no more can be
+    among the nearest), so large groups of copies cost nothing. Cells hold some ``block`` / 8 training rows, queries of a cell
+    are dealt into parts of ``block``. In many dimensions few cells can be left out, and work nears that of all pairs.
     """
 
+    SAMPLE = 1 << 21
+
     def __init__(self, k: int = 1, label: str = "label", block: int = 4096, column: str = "x"):
         super().__init__(label, column)
         self.k, self.block = k, block
 
     def _fit(self, df):
-        self.rows = df.select(F.col(self.column).alias("tx"), F.col(self.label_column).alias("tl")).where("tx is not null")
+        self.rows = df.select(F.col(self.column).cast("array<double>").alias("tx"), F.col(self.label_column).alias("tl")).where("tx is not null")
         self.n, self.kind = self.rows.count(), dict(self.rows.dtypes)["tl"]
+        counted = self.rows.groupBy("tx", "tl").agg(F.count("*").alias("n"))
+        counted = counted.withColumn("rn", F.row_number().over(Window.partitionBy("tx").orderBy("tl"))).where(F.col("rn") <= self.k)
+        labels = F.sort_array(F.collect_list(F.struct("tl", F.least("n", F.lit(self.k)).cast("int").alias("n"))))
+        repeated = F.flatten(F.transform(labels, lambda s: F.array_repeat(s["tl"], s["n"])))
+        self.points = counted.groupBy(F.col("tx").alias("x")).agg(F.slice(repeated, 1, self.k).alias("ls"))
+
+    def _tree(self) -> tuple[_Cells, Callable[[str], Column]]:
+        d = width_of(self.points, "x")
+        leaf = max(self.block // 8, 8 * self.k)
+        # Of every cell some 16 rows are in the sample, as long as it stays below SAMPLE numbers.
+        every = max(1, min(leaf // 16, self.n), -(-self.n * d // self.SAMPLE))
+        some = [r[0] for r in self.points.where(F.pmod(F.xxhash64("x"), F.lit(every)) == 0).select("x").collect()] or [self.points.first()[0]]
+        cells = _Cells(np.array(some, float), max(1, leaf // every))
+        cell_of = F.pandas_udf(lambda s: pd.Series(_cell_of(cells, s)), "int")
+        bounds = self.points.groupBy(cell_of("x").alias("c")).agg(*[f(F.get("x", F.lit(j))).alias(f"{n}{j}") for j in range(d) for n, f in (("a", F.min), ("b", F.max))])
+        cells.low, cells.high = np.full((cells.cells, d), np.inf), np.full((cells.cells, d), -np.inf)
+        for r in bounds.collect():
+            cells.low[r.c], cells.high[r.c] = [r[f"a{j}"] for j in range(d)], [r[f"b{j}"] for j in range(d)]
+        return cells, cell_of
+
+    def _nearest(self, df: DataFrame) -> DataFrame:
+        """(x, d2, l) of the k nearest training rows of each distinct vector of ``df``."""
+        self._ready()
+        k, kind, block = self.k, self.kind, self.block
+        schema = f"x array<double>, d2 double, l {kind}"
+        if not self.n:
+            return df.sparkSession.createDataFrame([], schema)
+        cells, cell_of = self._tree()
+        queries = df.select(F.col(self.column).cast("array<double>").alias("x")).where("x is not null").distinct()
+        queries = queries.select("x", cell_of("x").alias("c"), F.lit(float("inf")).alias("r2"))
+
+        def meet(rows: DataFrame, first: bool) -> DataFrame:
+            """``rows`` (x, c, r2) with the training rows of their cell: (x, d2, l, c); c is null but for a cell to go to within d2."""
+            counts = rows.groupBy("c").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+            none = F.lit(None).cast(f"array<{kind}>")
+            left = rows.join(counts, "c").select("c", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("p"), "x", "r2", none.alias("ls"))
+            right = self.points.select("x", "ls", cell_of("x").alias("c")).join(counts, "c")
+            right = right.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "x", F.lit(None).cast("double").alias("r2"), "ls")
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                q, t = pdf[pdf["r2"].notna()], pdf[pdf["r2"].isna()]
+                if not len(q):
+                    return pd.DataFrame({"x": [], "d2": [], "l": [], "c": []})
+                a, far, out = np.stack(list(q["x"])).astype(float), q["r2"].to_numpy().copy(), []
+                if len(t):
+                    b = np.stack(list(t["x"])).astype(float)
+                    size = np.array([len(v) for v in t["ls"]])
+                    label = pd.Series([v for own in t["ls"] for v in own])
+                    order = np.argsort(label.rank(method="dense", na_option="top").to_numpy(), kind="stable")
+                    b, label = np.repeat(b, size, 0)[order], label.to_numpy()[order]
+                    step = max(1, (1 << 21) // len(b))
+                    for i in range(0, len(a), step):
+                        d2 = _squares(a[i : i + step, j, None] - b[None, :, j] for j in range(b.shape[1]))
+                        near = np.argsort(d2, 1, kind="stable")[:, :k]
+                        found = np.take_along_axis(d2, near, 1)
+                        within = found <= far[i : i + step, None]
+                        who, which = np.nonzero(within | np.isnan(found) & first)
+                        out.append(pd.DataFrame({"x": list(a[i + who]), "d2": found[who, which], "l": label[near[who, which]]}))
+                        if first and near.shape[1] == k:
+                            far[i : i + step] = found[:, -1]
+                if first:
+                    who, other = cells.walk(a, far)
+                    away = other != int(pdf["c"].iloc[0])
+                    out.append(pd.DataFrame({"x": list(a[who[away]]), "d2": far[who[away]], "c": other[away]}))
+                return pd.concat(out).reindex(columns=["x", "d2", "l", "c"]) if out else pd.DataFrame({"x": [], "d2": [], "l": [], "c": []})
+
+            return left.unionByName(right).groupBy("c", "p").applyInPandas(run, schema + ", c int")
+
+        # Read three times; kept on the executors' disks until the session ends.
+        home = meet(queries, True).persist(StorageLevel.DISK_ONLY)
+        asked = home.where("c is not null").select("x", "c", F.col("d2").alias("r2"))
+        found = home.where("c is null").select("x", "d2", "l").unionByName(meet(asked, False).select("x", "d2", "l"))
+        rn = F.row_number().over(Window.partitionBy("x").orderBy("d2", "l"))
+        return found.withColumn("rn", rn).where(F.col("rn") <= k).drop("rn")
+
+    def _joined(self, df: DataFrame, found: DataFrame) -> DataFrame:
+        found = found.withColumnRenamed("x", "x__")
+        return df.join(found, F.col(self.column).cast("array<double>") == F.col("x__")).drop("x__")
 
     def neighbours(self, df: DataFrame, key: str) -> DataFrame:
         """(key, d2, l) of the k nearest training rows of each row; ``key`` names a unique column."""
-        self._ready()
-        m, k, kind = max(1, -(-self.n // self.block)), self.k, self.kind
-        q_parts = max(1, -(-df.count() // self.block))
-        train = self.rows.withColumn("b", F.pmod(F.xxhash64("tx", "tl"), F.lit(m)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-        train = train.select("a", "b", F.lit(None).cast(dict(df.dtypes)[key]).alias("id"), F.col("tx").alias("x"), F.col("tl").alias("l"))
-        query = df.withColumn("a", F.pmod(F.xxhash64(key), F.lit(q_parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        query = query.select("a", "b", F.col(key).alias("id"), F.col(self.column).alias("x"), F.lit(None).cast(kind).alias("l"))
-
-        def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-            q, t = pdf[pdf["id"].notna()], pdf[pdf["id"].isna()].sort_values("l", kind="stable")
-            if not len(q) or not len(t):
-                return pd.DataFrame({"id": [], "d2": [], "l": []})
-            a, b = np.stack(list(q["x"])).astype(float), np.stack(list(t["x"])).astype(float)
-            out = []
-            for i in range(0, len(a), 256):
-                d2 = ((a[i : i + 256, None, :] - b[None, :, :]) ** 2).sum(2) if len(b) * a.shape[1] < 1 << 15 else (a[i : i + 256] ** 2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a[i : i + 256] @ b.T
-                near = np.argsort(d2, 1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"id": np.repeat(q["id"].to_numpy()[i : i + 256], near.shape[1]), "d2": np.take_along_axis(d2, near, 1).ravel(), "l": t["l"].to_numpy()[near.ravel()]}))
-            return pd.concat(out)
-
-        found = train.unionByName(query).groupBy("a", "b").applyInPandas(nearest, f"id {dict(df.dtypes)[key]}, d2 double, l {kind}")
-        rn = F.row_number().over(Window.partitionBy("id").orderBy("d2", "l"))
-        return found.withColumn("rn", rn).where(F.col("rn") <= k).drop("rn").withColumnRenamed("id", key)
+        return self._joined(df.select(key, self.column), self._nearest(df)).select(key, "d2", "l")
 
     def label_by(self, df: DataFrame, key: str, name: str = "label") -> DataFrame:
-        votes = self.neighbours(df, key).groupBy(key, "l").agg(F.count("*").alias("n"))
-        return df.join(votes.groupBy(key).agg(F.min_by("l", F.struct((-F.col("n")).alias("n"), F.col("l").alias("l"))).alias(name)), key)
+        votes = self._nearest(df).groupBy("x", "l").agg(F.count("*").alias("n"))
+        return self._joined(df, votes.groupBy("x").agg(F.min_by("l", F.struct((-F.col("n")).alias("n"), F.col("l").alias("l"))).alias(name)))
+
+
+def _cell_of(cells: _Cells, x: pd.Series) -> np.ndarray:
+    out = np.zeros(len(x), np.int32)
+    if len(x):
+        at, cell = cells.walk(np.stack(list(x)).astype(float))
+        out[at] = cell
+    return out
 
 
 class SimpleMarkov(Classifier):

@@ -135,6 +135,30 @@ def test_classifiers_on_two_clouds(spark):
     assert ((said(p.label(df, "said")) > 0) == true).mean() > 0.75
 
 
+def test_nearest_neighbours_over_cells_are_exact(spark):
+    """Ties on a grid, copies with other labels, a hot vector, queries far from all rows; each vector against its own cell and few others."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 8, (700, 3)), rng.standard_normal((700, 3)) * 4, np.tile([1.5, 2.5, 3.5], (600, 1))]).astype(float)
+    label = rng.integers(0, 9, len(x))
+    q = np.concatenate([x[::3], rng.standard_normal((40, 3)) * 100])
+    df = frame(spark, x).join(spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], "t long, label int"), "t")
+    node = classifiers.KNN(5, block=320).fit(df)
+    got = {}
+    for r in node.neighbours(frame(spark, q), "t").collect():
+        got.setdefault(r.t, []).append((r.d2, r.l))
+    said = {r.t: r.said for r in node.label_by(frame(spark, q), "t", "said").collect()}
+    assert len(got) == len(said) == len(q)
+    for i, v in enumerate(q):
+        d = x - v
+        want = sorted(zip((d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2).tolist(), label.tolist(), strict=True))[:5]
+        assert sorted(got[i]) == want
+        votes = [w for _, w in want]
+        assert said[i] == min(votes, key=lambda w: (-votes.count(w), w))
+    cells, _ = node._tree()
+    near = np.array([sorted(((x - v) ** 2).sum(1))[4] for v in x[700:1400]])
+    assert cells.cells > 20 and len(cells.walk(x[700:1400], near)[0]) < 700 * cells.cells / 3
+
+
 def test_time_operators_exact(spark):
     df = frame(spark, [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12], [13, 14, 15]])
     y = mat(timeops.TimeDelay(3, 2).transform(df))
