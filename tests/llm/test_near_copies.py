@@ -146,6 +146,20 @@ def test_dense_cells_lose_no_pair(spark, monkeypatch):
     assert groups() == want
 
 
+def test_what_the_first_pass_cuts_off_is_found_by_the_second(spark, monkeypatch):
+    rng = random.Random(12)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        a = new(150)
+        rows += [(10 * i, a), (10 * i + 1, a[:144] + new(6)), (10 * i + 2, new(4) + a[4:])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
+    whole = near_copies.candidates
+    monkeypatch.setattr(near_copies, "candidates", lambda *a: whole(*a).where("u % 3 = 0"))
+    kept = {r.doc_id for r in near_copies.near_copy_groups(df).where("doc_id = component_id").collect()}
+    assert kept == representatives(rows)
+
+
 def test_parts_of_crowded_cells_hold_every_pair_of_groups_once():
     rng = np.random.default_rng(2)
     digest = rng.integers(-(2**62), 2**62, 300)
