@@ -12,16 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, near_copies, packing, quality, substring
-from .shared import discard, materialize, shrink_heaps, table
+from .shared import discard, materialize, shrink_heaps, table, tidy_driver
 from .tokens import vocabulary
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``f``, which begins with the executors' heaps as small as they can be: stages share executors."""
+    """``f``, which begins with the heaps of the executors and of the driver as small as they can be: stages share them."""
 
     @functools.wraps(f)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shrink_heaps(spark)
+        tidy_driver(spark, now=True)
         return f(spark, docs, sf_dir)
 
     return begin

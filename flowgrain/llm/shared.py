@@ -5,10 +5,12 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._flowgrain_path = path
     return out
@@ -139,6 +142,55 @@ def shrink_heaps(spark: SparkSession) -> None:
     spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
+def manage(spark: SparkSession, bean: str, operation: str, *args: str):
+    """What an operation of one of the driver JVM's own management beans returns, called through a public interface."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    anything, string = jvm.java.lang.Object, jvm.java.lang.String
+    takes = array(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    given = array(anything, jvm.javax.management.ObjectName(f"com.sun.management:type={bean}"), operation, array(anything, *args), array(string, *["java.lang.String"] * len(args)))
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    return named("javax.management.MBeanServer").getMethod("invoke", takes).invoke(server, given)
+
+
+#: Seconds between two calls of :func:`tidy_driver` that do anything, share of the largest heap by which it may grow until it is collected, and percent of it that stay free then.
+TIDY_EVERY, TIDY_GROWN, TIDY_FREE = 10, 0.2, "40"
+_tidied = {"at": 0.0, "heap": 0}
+
+
+def tidy_driver(spark: SparkSession, now: bool = False) -> None:
+    """Have the driver's JVM return what it holds free: a plan of many stages leaves it a grown heap and freed native memory of its compiler and threads.
+
+    The native memory is returned at every call, but at most once in ``TIDY_EVERY`` seconds, the heap if it has grown since it
+    was last collected. With ``now`` both are, at once. JVMs without these operations keep what they hold.
+    """
+    if not now and time.monotonic() - _tidied["at"] < TIDY_EVERY:
+        return
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if now or runtime.totalMemory() > _tidied["heap"] + TIDY_GROWN * runtime.maxMemory():
+        try:
+            usual = manage(spark, "HotSpotDiagnostic", "getVMOption", "MaxHeapFreeRatio").get("value")
+            manage(spark, "HotSpotDiagnostic", "setVMOption", "MaxHeapFreeRatio", TIDY_FREE)
+        except Py4JError:
+            usual = None
+        spark._jvm.System.gc()
+        if usual is not None:
+            manage(spark, "HotSpotDiagnostic", "setVMOption", "MaxHeapFreeRatio", usual)
+        _tidied["heap"] = runtime.totalMemory()
+    try:
+        manage(spark, "DiagnosticCommand", "systemTrimNativeHeap")
+    except Py4JError:
+        pass
+    _tidied["at"] = time.monotonic()
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """A text column without nulls."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

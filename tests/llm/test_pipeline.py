@@ -1,10 +1,11 @@
+import gc
 import random
 
 from test_decontam import brute as brute_decontam
 from test_near_copies import representatives
 from test_substring import brute as brute_substring
 
-from flowgrain.llm import packing, pipeline, quality
+from flowgrain.llm import packing, pipeline, quality, shared
 from flowgrain.llm.tokens import encoder, vocabulary
 
 
@@ -96,3 +97,18 @@ def test_stages_begin_with_small_heaps(spark):
     pipeline.shrink_heaps(spark)
     assert heap.totalMemory() - heap.freeMemory() < used
     assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "substring dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_stages_return_the_drivers_free_memory(spark, monkeypatch):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.sparkContext._gateway.new_array(spark._jvm.long, 60 << 20)
+    gc.collect()
+    grown = runtime.totalMemory()
+    trimmed = []
+    monkeypatch.setattr(shared, "manage", lambda s, bean, operation, *args, f=shared.manage: (trimmed.append(operation), f(s, bean, operation, *args))[1])
+    asked = pipeline.stage(lambda s, docs, sf_dir: runtime.totalMemory())(spark, None, "")
+    assert asked < grown and "systemTrimNativeHeap" in trimmed
+    assert shared.manage(spark, "HotSpotDiagnostic", "getVMOption", "MaxHeapFreeRatio").get("value") == "70"
+    before = len(trimmed)
+    shared.tidy_driver(spark)
+    assert len(trimmed) == before
