@@ -12,7 +12,9 @@ themselves. Copies and most near copies are then in one verified group. The seco
 cell, uncut, all points of different verified groups are compared, and all pairs within the bit limit are verified. So the
 groups are those that all pairs would give that meet in a cell within the limit and are similar enough, however cells are dealt to
 tasks. Pairs within a verified group are not compared again; between groups the second pass takes as many comparisons as
-cells have pairs, in units of bounded size.
+cells have pairs, in units of bounded size. These pairs are never rows: a cell returns a forest that connects its candidates,
+what forests connect is a clump, and a clump's sets meet in parts, where all pairs of different groups are verified at once and a
+forest of the links comes out. So rows grow with the points; the sets of a clump of over ``PIECE`` travel once for each part.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, chunks, mix
-from .components import connected_components, lightest_forest
+from .components import connected_components, forest, lightest_forest
 from .shared import discard, frugal, materialize, python_batches, salted_totals, sifted, text_or_empty, with_ids, without_ids
 from .simhash import SEGMENTS, columns, digests, grouped, pairs_of_units, popcounts, shingle_sets, whole_units, with_fingerprint
 
@@ -38,6 +40,8 @@ CROWDED, COUNTED = 4096, 64
 DENSE, DEEPER, TIMES = 192, 4, 8
 #: Pairs that are verified in one unit, and edges that one unit thins out.
 UNIT, FOREST = 512, 1 << 20
+#: Shingles of one part of a clump, those that a set counts for besides its own, and rows that are compared with all others at once.
+PIECE, EACH, BLOCK = 1 << 18, 64, 512
 
 
 def expected_bits(similarity: float) -> float:
@@ -234,11 +238,17 @@ class Crowds:
         return np.r_[cold, at], np.r_[cell[cold], unit], np.r_[root[cold], run]
 
 
-def apart(points: DataFrame, label: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(u, v, d): all pairs of digests of different groups (node, root) that meet in an uncut cell within the bit limit."""
+def crowds_of(by_group: DataFrame, most: int) -> Crowds:
+    """From (cell, root, n): how cells of more than ``most`` are dealt."""
+    crowded = by_group.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    big = by_group.where(F.col("n") > most)
+    rest = crowded.join(big.groupBy("cell").agg(F.sum("n").alias("held")), "cell", "left").select("cell", (F.col("n") - F.coalesce("held", F.lit(0))).alias("n"))
+    return Crowds([(r.cell, r.root, r.n) for r in big.collect()], [(r.cell, r.n) for r in rest.collect()], most)
+
+
+def apart(rooted: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(u, v): edges that connect all points of different roots which meet in an uncut cell within the bit limit, fewer than the cells hold points."""
     tables, limit, names = tables_needed(similarity, recall), bit_limit(similarity), columns(SALTED)
-    rooted = points.join(label, F.col("digest") == F.col("node"), "left").select(*names, "digest", F.coalesce("root", "digest").alias("root"))
-    rooted = materialize(rooted, "rooted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,11 +258,8 @@ def apart(points: DataFrame, label: DataFrame, similarity: float, recall: float)
     some = rooted.where(F.pmod(F.xxhash64("digest"), F.lit(COUNTED)) == 0).select(*names, "root")
     by_group = materialize(some.mapInArrow(count, "cell bigint, root bigint").groupBy("cell", "root").agg((F.count("*") * COUNTED).alias("n")), "counts")
     # What reaches the driver are cells and groups of over CROWDED points: at most tables / CROWDED of the points' number.
-    crowded = by_group.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED)
-    big = by_group.where(F.col("n") > CROWDED)
-    rest = crowded.join(big.groupBy("cell").agg(F.sum("n").alias("held")), "cell", "left").select("cell", (F.col("n") - F.coalesce("held", F.lit(0))).alias("n"))
-    crowds = Crowds([(r.cell, r.root, r.n) for r in big.collect()], [(r.cell, r.n) for r in rest.collect()], CROWDED)
-    shared = points.sparkSession.sparkContext.broadcast(crowds)
+    crowds = crowds_of(by_group, CROWDED)
+    shared = rooted.sparkSession.sparkContext.broadcast(crowds)
 
     @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,32 +275,149 @@ def apart(points: DataFrame, label: DataFrame, similarity: float, recall: float)
     @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, run, *prints, digest in whole_units(batches):
-            u, v, d, held = [], [], [], 0
-
-            def met() -> pa.RecordBatch:
-                a, b = np.concatenate([digest[:0], *u]), np.concatenate([digest[:0], *v])
-                return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate([np.zeros(0, np.int32), *d]))], ["u", "v", "d"])
-
+            u, v, held = [digest[:0]], [digest[:0]], 0
             for i, j in across(unit, run):
-                i, j, bits = within(prints, i, j, limit)
+                i, j, _ = within(prints, i, j, limit)
                 u.append(digest[i])
                 v.append(digest[j])
-                d.append(bits)
                 held += len(i)
-                if held > 1 << 17:
-                    yield met()
-                    u, v, d, held = [], [], [], 0
-            yield met()
+                if held > 1 << 20:
+                    a, b = forest(np.concatenate(u), np.concatenate(v))
+                    u, v, held = [a], [b], len(a)
+            yield pa.record_batch([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], ["u", "v"])
 
     dealt = rooted.mapInArrow(spread, "unit bigint, run bigint, " + ", ".join(f"{n} bigint" for n in [*names, "digest"]))
-    found = dealt.repartition("unit").sortWithinPartitions("unit", "run").mapInArrow(find, "u bigint, v bigint, d int")
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "run").mapInArrow(find, "u bigint, v bigint")
     out = materialize(found.distinct(), "apart")
-    discard(rooted, by_group)
+    discard(by_group)
+    return out
+
+
+def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(digest, h): the hashes of the shingles of each digest's text, one of those that have the doc_id ``rep``."""
+    may, _ = sifted(docs.select("doc_id", "text"), reps.select("rep"))
+    texts = python_batches(may).select(F.col("doc_id").cast("bigint").alias("rep"), text_or_empty().alias("text")).join(reps.hint("merge"), "rep").select("digest", "text")
+
+    @frugal
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, end, data, off in chunks(b.column(1)):
+                doc, h = shingle_sets(Words(data, off), width)
+                at = np.searchsorted(doc, np.arange(end - row + 1))
+                own = b.column(0).slice(row, end - row)
+                # Another text of the same doc_id has another digest.
+                mine = pa.array(digests(doc, h, end - row).view(np.int64) == own.to_numpy(zero_copy_only=False))
+                yield pa.record_batch([own.filter(mine), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64))).filter(mine)], ["digest", "h"])
+
+    return texts.mapInArrow(sets, "digest bigint, h array<bigint>").dropDuplicates(["digest"])
+
+
+def whole_sets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by their first column, put together to whole units of about ``most`` values of the last column, a list."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for b in batches:
+        held.append(b)
+        have += len(b.column(b.num_columns - 1).flatten()) + EACH * b.num_rows
+        if have < most:
+            continue
+        rows = pa.concat_batches(held)
+        unit = rows.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(unit, unit[-1], "left"))
+        if cut:
+            yield rows.slice(0, cut)
+        held, have = [rows.slice(cut)], len(rows.slice(cut).column(rows.num_columns - 1).flatten()) + EACH * (len(unit) - cut)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def shared_shingles(unit: np.ndarray, row: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix): for blocks of rows, how many of its shingles (row, h) each has in common with every other row of its unit.
+
+    Shingles that few rows have are taken as pairs of these rows, others as columns of a matrix product.
+    """
+    n = len(unit)
+    order = np.lexsort((h, unit[row]))
+    row, h = row[order], h[order]
+    new = (h[1:] != h[:-1]) | (unit[row[1:]] != unit[row[:-1]])
+    first = np.flatnonzero(np.r_[True, new]) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(h)])
+    often = np.flatnonzero(count > max(8, n // 32))
+    table = np.zeros((n, len(often)), np.float32)
+    at = np.repeat(first[often] - np.cumsum(count[often]) + count[often], count[often]) + np.arange(count[often].sum())
+    table[row[at], np.repeat(np.arange(len(often)), count[often])] = 1
+    seldom = np.repeat((count > 1) & (count <= max(8, n // 32)), count)
+    start, many = np.repeat(first, count), np.repeat(count, count)
+    for low in range(0, n, BLOCK):
+        high = min(n, low + BLOCK)
+        both = table[low:high] @ table.T
+        own = np.flatnonzero(seldom & (row >= low) & (row < high))
+        for part in np.split(own, np.searchsorted(np.cumsum(many[own]), np.arange(1 << 20, many[own].sum(), 1 << 20))):
+            m = many[part]
+            other = np.repeat(start[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            np.add.at(both.reshape(-1), np.repeat(row[part] - low, m) * n + row[other], np.float32(1))
+        yield low, both
+
+
+def similar(unit: np.ndarray, run: np.ndarray, row: np.ndarray, h: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j > i) of the pairs within units of different runs whose sets of shingles (row, h) have the Jaccard similarity."""
+    size = np.bincount(row, minlength=len(unit))
+    for low, both in shared_shingles(unit, row, h):
+        i, j = np.nonzero(both >= similarity * (size[low : low + len(both), None] + size - both) - 1e-9)
+        i += low
+        good = np.flatnonzero((i < j) & (unit[i] == unit[j]) & (run[i] != run[j]))
+        yield i[good], j[good]
+
+
+def linked(docs: DataFrame, rooted: DataFrame, points: DataFrame, clumps: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
+    """(u, v): a forest of the links between points of different roots of one clump (node, root).
+
+    A link is a pair that meets in a cell within the bit limit and has the Jaccard similarity.
+    """
+    tables, limit, names = tables_needed(similarity, recall), bit_limit(similarity), columns(SALTED)
+    own = clumps.select(F.col("node").alias("digest"), F.col("root").alias("cell"))
+    members = rooted.join(own, "digest").join(points.select("digest", "rep"), "digest")
+    members = materialize(members.select("cell", "root", *names, "digest", "rep"), "members")
+    known = materialize(sets_of(docs, members.select("rep", "digest"), width), "sets")
+    weights = materialize(
+        members.join(known.select("digest", F.size("h").alias("n")), "digest").groupBy("cell", "root").agg(F.sum(F.col("n") + EACH).alias("n")), "counts"
+    )
+    # What reaches the driver are clumps and groups of over PIECE shingles.
+    shared = docs.sparkSession.sparkContext.broadcast(crowds_of(weights, PIECE))
+
+    @frugal
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, root, digest = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2 + SALTED))
+            at, unit, run = shared.value.deal(cell, root, digest)
+            rows = b.select([*names, "digest"]).take(pa.array(at))
+            yield pa.record_batch([pa.array(unit), pa.array(run), *rows.columns], ["unit", "run", *names, "digest"])
+
+    @frugal
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_sets(batches, PIECE):
+            unit, run, digest = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2 + SALTED))
+            prints = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(SALTED)], 1)
+            sets = b.column(3 + SALTED)
+            row = np.repeat(np.arange(len(unit)), sets.value_lengths().to_numpy(zero_copy_only=False))
+            u, v = digest[:0], digest[:0]
+            for i, j in similar(unit, run, row, sets.flatten().to_numpy(zero_copy_only=False), similarity):
+                i, j, _ = within(list(prints.T), i, j, limit)
+                met = np.zeros(len(i), bool)
+                for cell, _ in cells(prints, tables) if len(i) else ():
+                    met |= cell[i] == cell[j]
+                u, v = forest(np.r_[u, digest[i[met]]], np.r_[v, digest[j[met]]])
+            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    dealt = members.mapInArrow(spread, "unit bigint, run bigint, " + ", ".join(f"{n} bigint" for n in [*names, "digest"]))
+    met = dealt.join(known.hint("merge"), "digest").select("unit", "run", *names, "digest", "h")
+    out = materialize(met.repartition("unit").sortWithinPartitions("unit", "run").mapInArrow(link, "u bigint, v bigint"), "linked")
+    discard(members, known, weights)
     return out
 
 
-def units(edges: DataFrame, roots: DataFrame, thin: bool) -> DataFrame:
-    """(u, v, unit): the edges, or with ``thin`` a lightest spanning forest of each group, in units of ``UNIT`` of one group."""
+def units(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v, unit): a lightest spanning forest of the edges of each group, in units of ``UNIT`` of one group."""
     rooted = edges.join(roots.withColumnRenamed("node", "u"), "u").select("root", "u", "v", "d")
     # At most one row for every FOREST edges.
     big = F.broadcast(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > FOREST))
@@ -303,7 +427,7 @@ def units(edges: DataFrame, roots: DataFrame, thin: bool) -> DataFrame:
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, u, v, d in whole_units(batches):
-            keep = lightest_forest(u, v, d) if thin else np.arange(len(u))
+            keep = lightest_forest(u, v, d)
             keep = keep[np.argsort(group[keep], kind="stable")]
             own = group[keep]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
@@ -320,22 +444,7 @@ def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, width: int, s
     ends = first.unionByName(pairs.select("unit", F.col("v").alias("digest"), F.array().cast("array<bigint>").alias("partners")))
     ends = ends.groupBy("unit", "digest").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     ends = materialize(ends.join(points.select("digest", "rep"), "digest"), "ends")
-    reps = ends.select("rep", "digest").distinct()
-    may, _ = sifted(docs.select("doc_id", "text"), reps.select("rep"))
-    texts = python_batches(may).select(F.col("doc_id").cast("bigint").alias("rep"), text_or_empty().alias("text")).join(reps.hint("merge"), "rep").select("digest", "text")
-
-    @frugal
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, end, data, off in chunks(b.column(1)):
-                doc, h = shingle_sets(Words(data, off), width)
-                at = np.searchsorted(doc, np.arange(end - row + 1))
-                own = b.column(0).slice(row, end - row)
-                # Another text of the same doc_id has another digest.
-                mine = pa.array(digests(doc, h, end - row).view(np.int64) == own.to_numpy(zero_copy_only=False))
-                yield pa.record_batch([own.filter(mine), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64))).filter(mine)], ["digest", "h"])
-
-    known = texts.mapInArrow(sets, "digest bigint, h array<bigint>").dropDuplicates(["digest"])
+    known = sets_of(docs, ends.select("rep", "digest").distinct(), width)
     dealt = ends.join(known.hint("merge"), "digest").select("unit", "digest", "partners", "h")
 
     @frugal
@@ -384,15 +493,16 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, r
     points = materialize(salted_totals(prints, ["digest"], ["doc_id"], rep=(F.min, "doc_id"), **{n: (F.min, n) for n in names}), "points")
     edges = candidates(points, similarity, recall)
     roots = materialize(reached(edges), "reached")
-    pairs = units(edges, roots, True)
+    pairs = units(edges, roots)
     links = verified(docs, points, pairs, width, similarity)
     label = materialize(reached(links), "reached")
-    rest = materialize(apart(points, label, similarity, recall).join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    rooted = points.join(label, F.col("digest") == F.col("node"), "left").select(*names, "digest", F.coalesce("root", "digest").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    rest = apart(rooted, similarity, recall)
     among = materialize(reached(rest), "reached")
-    second = units(rest, among, False)
-    more = verified(docs, points, second, width, similarity)
+    more = linked(docs, rooted, points, among, width, similarity, recall)
     out = grouped(prints.select("doc_id", "t", "digest"), points, links.unionByName(more), "digest").select("doc_id", "t", "component_id")
-    discard(edges, roots, pairs, links, label, rest, among, second, more, points)
+    discard(edges, roots, pairs, links, label, rooted, rest, among, more, points)
     return out
 
 

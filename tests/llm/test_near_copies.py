@@ -160,6 +160,94 @@ def test_what_the_first_pass_cuts_off_is_found_by_the_second(spark, monkeypatch)
     assert kept == representatives(rows)
 
 
+def kin(rng, n):
+    """(doc_id, words): n documents of like text of which few pairs have a similarity of 0.8 but most are candidates; every fourth has a near copy."""
+    base, rows = [f"v{i}" for i in range(150)], []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([2, 3])):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, w))
+        if i % 4 == 0:
+            rows.append((1000 + i, [*w[:40], f"m{i}", *w[41:]]))
+    return rows
+
+
+def kept_by_all_pairs(rows):
+    """The smallest doc_id of each group that all pairs connect which meet in a cell within the bit limit and are similar enough."""
+    import pyarrow as pa
+
+    prints = simhash.fingerprints(pa.array([" ".join(w) for _, w in rows]), 5, near_copies.SALTED, True)[:, : near_copies.SALTED]
+    met = sum(c[:, None] == c[None] for c, _ in near_copies.cells(prints, near_copies.tables_needed(0.8, 0.96))) > 0
+    met &= np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= near_copies.bit_limit(0.8)
+    sets = [shingles(w) for _, w in rows]
+    links = np.array([(i, j) for i, j in np.argwhere(met) if jaccard(sets[i], sets[j]) >= 0.8])
+    root, ids = local_roots(len(rows), *links.T), np.array([d for d, _ in rows])
+    return {int(ids[root == r].min()) for r in set(root.tolist())}
+
+
+def test_candidates_without_links_are_not_rows(spark, monkeypatch):
+    """A large group of near copies that are less similar than the limit makes rows in proportion to it, not pairs."""
+    rows = kin(random.Random(21), 240)
+    made, whole = {}, near_copies.materialize
+
+    def counted(df, name):
+        out = whole(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    # The first pass finds nothing, so all is left to the second.
+    monkeypatch.setattr(near_copies, "candidates", lambda *a, all=near_copies.candidates: all(*a).where("false"))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string")
+    kept = {r.doc_id for r in near_copies.near_copy_groups(df).where("doc_id = component_id").collect()}
+    assert kept == kept_by_all_pairs(rows)
+    assert max(made.values()) < 20 * len(rows), made
+
+
+def test_parts_of_clumps_lose_no_link(spark, monkeypatch):
+    rows = kin(random.Random(22), 60) + [(5000, ["a"]), (5001, [])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id bigint, text string").persist()
+    groups = lambda: sorted((r.doc_id, r.component_id) for r in near_copies.near_copy_groups(df).collect())
+    want = groups()
+    whole = near_copies.candidates
+    monkeypatch.setattr(near_copies, "candidates", lambda *a: whole(*a).where("u % 3 = 0"))
+    assert groups() == want
+    monkeypatch.setattr(near_copies, "PIECE", 1500)
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    assert groups() == want
+
+
+def test_shingles_in_common_are_counted_exactly(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(near_copies, "BLOCK", 17)
+    for n in (1, 3, 60, 300):
+        unit, run = np.sort(rng.integers(0, 3, n)), rng.integers(0, 40, n)
+        # Some shingles are in most sets, some in few; some sets are empty.
+        sets = [set((rng.integers(0, 2000, rng.integers(0, 30)) ** 2 // 1000).tolist()) for _ in range(n)]
+        sets = [s | set(range(9000, 9020)) if rng.random() < 0.6 else s for s in sets]
+        row = np.repeat(np.arange(n), [len(s) for s in sets])
+        h = np.array([x for s in sets for x in sorted(s)], np.int64)
+        for low, both in near_copies.shared_shingles(unit, row, h):
+            assert all(both[i, j] == (len(sets[low + i] & sets[j]) if unit[low + i] == unit[j] else 0) for i in range(len(both)) for j in range(n) if low + i != j)
+        got = [(a, b) for i, j in near_copies.similar(unit, run, row, h, 0.5) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        want = [(i, j) for i in range(n) for j in range(i + 1, n) if unit[i] == unit[j] and run[i] != run[j] and jaccard(sets[i], sets[j]) >= 0.5 - 1e-9]
+        assert sorted(got) == want
+
+
+def test_whole_sets_end_with_a_unit():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    unit = np.sort(rng.integers(0, 30, 400))
+    lists = [rng.integers(0, 99, rng.integers(0, 9)).tolist() for _ in unit]
+    rows = pa.record_batch([pa.array(unit), pa.array(lists, pa.list_(pa.int64()))], ["unit", "h"])
+    out = list(near_copies.whole_sets((rows.slice(i, 7) for i in range(0, 400, 7)), 2000))
+    assert pa.Table.from_batches(out).to_pylist() == rows.to_pylist() and len(out) > 3
+    ends = [set(b.column(0).to_pylist()) for b in out]
+    assert sum(map(len, ends)) == len(set().union(*ends))
+
+
 def test_parts_of_crowded_cells_hold_every_pair_of_groups_once():
     rng = np.random.default_rng(2)
     digest = rng.integers(-(2**62), 2**62, 300)
