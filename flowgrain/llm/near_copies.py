@@ -507,8 +507,21 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, r
 
 
 def reached(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge, roots included."""
-    roots = connected_components(edges.select("u", "v"))
+    """(node, root) of every node with an edge, roots included; each task first thins its edges to a forest."""
+
+    @frugal
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for b in batches:
+            u.append(b.column(0).to_numpy(zero_copy_only=False))
+            v.append(b.column(1).to_numpy(zero_copy_only=False))
+            held += b.num_rows
+            if held > FOREST:
+                yield pa.record_batch([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], ["u", "v"])
+                u, v, held = u[:1], v[:1], 0
+        yield pa.record_batch([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], ["u", "v"])
+
+    roots = connected_components(edges.select("u", "v").mapInArrow(thin, "u bigint, v bigint"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
