@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,17 +196,99 @@ def _squares(parts) -> np.ndarray:
     return out
 
 
+class _Search:
+    """The k nearest of each of the vectors ``a`` (position, squared distance, label), out of training rows that come block by block.
+
+    A matrix product tells all squared distances of a block but for rounding. Those that may be among the nearest are computed
+    again by ``_squares``, so distances and ties are the same to the last bit. Vectors with huge or no numbers are never left out.
+    """
+
+    PAIRS = 1 << 20
+
+    def __init__(self, a: np.ndarray, k: int):
+        self.a, self.k = a, k
+        finite = np.isfinite(a).all(1)
+        self.mid = np.median(a[finite], 0) if finite.any() else np.zeros(a.shape[1])
+        c, self.norm = self._centred(a)
+        self.c = np.concatenate([c, np.ones((len(a), 1))], 1)
+        self.i, self.d2, self.l = np.zeros(0, np.int64), np.zeros(0), None
+        self.far = np.full(len(a), np.inf)
+
+    def _centred(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            c = x - self.mid
+            norm = (c * c).sum(1)
+        norm[~(norm < 1e200)] = np.nan
+        c[np.isnan(norm)] = 0.0
+        return c, norm
+
+    def add(self, b: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        """Training vectors ``b``, of each ``sizes`` labels."""
+        c, norm = self._centred(b)
+        # The product and ``_squares`` are apart by less than 2.5 * width + 8 times eps and the sum of both norms; this is more.
+        slack = 4 * (b.shape[1] + 8) * np.finfo(float).eps
+        to = np.concatenate([-2.0 * c, (1 - slack) * norm[:, None]], 1).T
+        begin, step, found = np.cumsum(sizes) - sizes, max(1, self.PAIRS // len(b)), []
+        for s in range(0, len(self.a), step):
+            own = slice(s, s + step)
+            score = self.c[own] @ to
+            near = self.far[own] - (1 - slack) * self.norm[own] + 1e-290
+            unset = np.flatnonzero(~(self.far[own] < np.inf))
+            if len(unset) and len(b) >= self.k:
+                some = max(512, 8 * self.k)
+                most = np.partition(score[unset, :some] + 2 * slack * norm[:some], self.k - 1, 1)[:, self.k - 1]
+                near[unset] = np.fmin(near[unset], most + 2 * slack * self.norm[own][unset] + 1e-290)
+            who, which = np.divmod(np.flatnonzero(~(score > near[:, None])), len(b))
+            for at in range(0, len(who), self.PAIRS // 4):
+                i, j = who[at : at + self.PAIRS // 4] + s, which[at : at + self.PAIRS // 4]
+                with np.errstate(all="ignore"):
+                    d2 = _squares(self.a[i, n] - b[j, n] for n in range(b.shape[1]))
+                may = ~(d2 > self.far[i]) & ~(np.isnan(d2) & (self.far[i] < np.inf))
+                i, j, d2 = i[may], j[may], d2[may]
+                each = sizes[j]
+                label = np.repeat(begin[j] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                found.append((np.repeat(i, each), np.repeat(d2, each), labels[label]))
+                if sum(len(f[0]) for f in found) > self.PAIRS // 4:
+                    self._merge(found)
+                    found = []
+        self._merge(found)
+
+    def _merge(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        if not found:
+            return
+        held = [] if self.l is None else [(self.i, self.d2, self.l)]
+        i, d2, label = (np.concatenate(v) for v in zip(*held, *found, strict=True))
+        rank = pd.Series(label.tolist() if label.dtype == object else label).rank(method="dense", na_option="top").to_numpy()
+        order = np.lexsort((rank, d2, i))
+        i, d2, label = i[order], d2[order], label[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        last, kept = place == self.k - 1, place < self.k
+        self.far[i[last]] = d2[last]
+        self.i, self.d2, self.l = i[kept], d2[kept], label[kept]
+
+
+def _matrix(x: pa.ListArray, d: int) -> np.ndarray:
+    if not (x.value_lengths().to_numpy(zero_copy_only=False) == d).all():
+        raise ValueError(f"not all vectors have {d} numbers")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), d)
+
+
 class KNN(Classifier):
     """Majority of the k nearest training rows; ties of distance and of votes go to the smaller label.
 
-    Exact, without comparing all with all: a k-d tree over a bounded sample of the training rows deals both sides into cells.
-    Each query first finds the k nearest in its own cell, then goes to those other cells whose bounds are not further away than
-    the k-th of these. Equal vectors count once on both sides (of training rows the k smallest labels, as no more can be
-    among the nearest), so large groups of copies cost nothing. Cells hold some ``block`` / 8 training rows, queries of a cell
-    are dealt into parts of ``block``. In many dimensions few cells can be left out, and work nears that of all pairs.
+    Exact. Where the training rows are enough to split every dimension, not all are compared with all: a k-d tree over a
+    bounded sample of them deals both sides into cells. Each query first finds the k nearest in its own cell, then goes to those
+    other cells whose bounds are not further away than the k-th of these. Cells hold some ``block`` / 8 training rows, queries of
+    a cell are dealt into parts of ``block``. In more dimensions few cells can be left out, so there all pairs are compared, as
+    matrix products: queries are dealt into parts, and the training rows stream past each part in packed blocks.
+
+    Equal vectors count once on both sides (of training rows the k smallest labels, as no more can be among the nearest), so
+    large groups of copies cost nothing.
     """
 
     SAMPLE = 1 << 21
+    #: Numbers of the queries in a part, at most.
+    PART = 1 << 21
 
     def __init__(self, k: int = 1, label: str = "label", block: int = 4096, column: str = "x"):
         super().__init__(label, column)
@@ -234,14 +318,64 @@ class KNN(Classifier):
         return cells, cell_of
 
     def _nearest(self, df: DataFrame) -> DataFrame:
-        """(x, d2, l) of the k nearest training rows of each distinct vector of ``df``."""
+        """(x, near) for each distinct vector of ``df``: (d2, l) of its k nearest training rows, nearest first."""
         self._ready()
+        if not self.n:
+            return df.sparkSession.createDataFrame([], f"x array<double>, near array<struct<d2: double, l: {self.kind}>>")
+        queries = df.select(F.col(self.column).cast("array<double>").alias("x")).where("x is not null").distinct()
+        d = width_of(self.rows, "tx")
+        return self._over_blocks(queries, d) if self.n < max(self.block // 8, 8 * self.k) << d else self._over_cells(queries)
+
+    def _over_blocks(self, queries: DataFrame, d: int) -> DataFrame:
+        """All pairs: each task holds a part of the queries and reads all training rows, block by block."""
+        k, kind, n = self.k, self.kind, queries.count()
+        parts = max(1, -(-n * d // self.PART), min(queries.sparkSession.sparkContext.defaultParallelism, n // 1024))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, step = _matrix(batch.column(0), d), max(1, min(4096, (1 << 18) // d))
+                for i in range(0, len(x), step):
+                    some, ls = x[i : i + step], batch.column(1).slice(i, step)
+                    with np.errstate(all="ignore"):
+                        short = some.astype(np.float32)
+                    body = short if np.array_equal(short, some, equal_nan=True) else some  # no number is changed
+                    sizes, labels = ls.value_lengths(), ls.flatten()
+                    lists = [pa.ListArray.from_arrays([0, len(v)], v) for v in (sizes, labels)]
+                    yield pa.RecordBatch.from_arrays([pa.array([body.tobytes()], pa.binary()), *lists], ["body", "sizes", "labels"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, search, part, labels = [], None, set(), None
+            for batch in batches:
+                part.update(batch.column("p").to_pylist())
+                if len(part) > 1:
+                    raise RuntimeError("two parts of the queries came to one task")
+                rows = batch.filter(pc.is_valid(batch.column("x")))
+                if len(rows):
+                    held.append(rows.column("x"))
+                for row in range(len(rows), len(batch)) if held else ():
+                    search = search or _Search(np.concatenate([_matrix(x, d) for x in held]), k)
+                    body, sizes, labels = batch.column("body")[row].as_py(), batch.column("sizes")[row].values.to_numpy(), batch.column("labels")[row].values
+                    b = np.frombuffer(body, np.float32 if len(body) == 4 * d * len(sizes) else float).astype(float).reshape(len(sizes), d)
+                    flat = pa.types.is_integer(labels.type) and not labels.null_count
+                    search.add(b, sizes.astype(np.int64), labels.to_numpy() if flat else np.array([*labels.to_pylist(), None], object)[:-1])
+            if search is None:
+                return
+            x, ends = pa.concat_arrays(held), np.searchsorted(search.i, np.arange(len(search.a) + 1))
+            for i in range(0, len(x), 4096):
+                at = ends[i : i + 4097]
+                near = pa.StructArray.from_arrays([pa.array(search.d2[at[0] : at[-1]]), pa.array(search.l[at[0] : at[-1]], labels.type)], ["d2", "l"])
+                yield pa.RecordBatch.from_arrays([x.slice(i, 4096), pa.ListArray.from_arrays((at - at[0]).astype(np.int32), near)], ["x", "near"])
+
+        packed = self.points.select("x", "ls").mapInArrow(pack, f"body binary, sizes array<int>, labels array<{kind}>")
+        packed = packed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(1).alias("side"), F.lit(None).cast("array<double>").alias("x"), "*")
+        asked = queries.select(F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("p"), F.lit(0).alias("side"), "x")
+        dealt = asked.unionByName(packed, allowMissingColumns=True).repartitionById(parts, "p").sortWithinPartitions("side")
+        return dealt.mapInArrow(run, f"x array<double>, near array<struct<d2: double, l: {kind}>>")
+
+    def _over_cells(self, queries: DataFrame) -> DataFrame:
         k, kind, block = self.k, self.kind, self.block
         schema = f"x array<double>, d2 double, l {kind}"
-        if not self.n:
-            return df.sparkSession.createDataFrame([], schema)
         cells, cell_of = self._tree()
-        queries = df.select(F.col(self.column).cast("array<double>").alias("x")).where("x is not null").distinct()
         queries = queries.select("x", cell_of("x").alias("c"), F.lit(float("inf")).alias("r2"))
 
         def meet(rows: DataFrame, first: bool) -> DataFrame:
@@ -285,8 +419,7 @@ class KNN(Classifier):
         home = meet(queries, True).persist(StorageLevel.DISK_ONLY)
         asked = home.where("c is not null").select("x", "c", F.col("d2").alias("r2"))
         found = home.where("c is null").select("x", "d2", "l").unionByName(meet(asked, False).select("x", "d2", "l"))
-        rn = F.row_number().over(Window.partitionBy("x").orderBy("d2", "l"))
-        return found.withColumn("rn", rn).where(F.col("rn") <= k).drop("rn")
+        return found.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "l"))), 1, k).alias("near"))
 
     def _joined(self, df: DataFrame, found: DataFrame) -> DataFrame:
         found = found.withColumnRenamed("x", "x__")
@@ -294,11 +427,12 @@ class KNN(Classifier):
 
     def neighbours(self, df: DataFrame, key: str) -> DataFrame:
         """(key, d2, l) of the k nearest training rows of each row; ``key`` names a unique column."""
-        return self._joined(df.select(key, self.column), self._nearest(df)).select(key, "d2", "l")
+        return self._joined(df.select(key, self.column), self._nearest(df)).select(key, F.inline("near"))
 
     def label_by(self, df: DataFrame, key: str, name: str = "label") -> DataFrame:
-        votes = self._nearest(df).groupBy("x", "l").agg(F.count("*").alias("n"))
-        return self._joined(df, votes.groupBy("x").agg(F.min_by("l", F.struct((-F.col("n")).alias("n"), F.col("l").alias("l"))).alias(name)))
+        ls = F.transform("near", lambda s: s["l"])
+        votes = F.transform(F.array_distinct(ls), lambda v: F.struct((-F.size(F.filter(ls, lambda w: w.eqNullSafe(v)))).alias("n"), v.alias("l")))
+        return self._joined(df, self._nearest(df).select("x", F.array_min(votes)["l"].alias(name)))
 
 
 def _cell_of(cells: _Cells, x: pd.Series) -> np.ndarray:

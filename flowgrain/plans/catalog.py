@@ -457,12 +457,12 @@ def gaussian_2d(spark, d):
     return node.label(_two(spark, d)).select(*KEY, "label")
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-r AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY pow(q.a-t.a,2)+pow(q.b-t.b,2)+pow(q.c-t.c,2), t.label) AS rn FROM e q, e t),
+@query(f"""WITH e AS (SELECT vec_id, label, {', '.join(f'embedding[{i}]::DOUBLE AS x{i}' for i in range(1, 65))} FROM embeddings),
+r AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {'+'.join(f'pow(q.x{i}-t.x{i},2)' for i in range(1, 65))}, t.label) AS rn FROM e q, e t),
 v AS (SELECT vec_id, label, count(*) AS n FROM r WHERE rn <= 5 GROUP BY 1, 2) SELECT vec_id, arg_min(label, (-n, label)) AS label FROM v GROUP BY 1""")
 def knn(spark, d):
-    node = classifiers.KNN(5).fit(vectors(spark, d, 3))
-    return node.label_by(vectors(spark, d, 3).drop("label"), "vec_id").select("vec_id", "label")
+    node = classifiers.KNN(5).fit(vectors(spark, d))
+    return node.label_by(vectors(spark, d).drop("label"), "vec_id").select("vec_id", "label")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), c(k, ca, cb) AS (VALUES (0, -0.1, 0.0), (1, 0.1, 0.0), (2, 0.0, 0.1)),

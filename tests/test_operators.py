@@ -159,6 +159,64 @@ def test_nearest_neighbours_over_cells_are_exact(spark):
     assert cells.cells > 20 and len(cells.walk(x[700:1400], near)[0]) < 700 * cells.cells / 3
 
 
+def test_nearest_neighbours_of_wide_vectors_are_exact(spark):
+    """All pairs by matrix products: ties, copies with other labels, vectors far from zero and close together, huge ones and NaN."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([
+        rng.integers(0, 2, (900, 24)), rng.standard_normal((900, 24)).astype(np.float32), 1e7 + rng.standard_normal((300, 24)) * 1e-3,
+        np.tile(np.arange(24.0), (400, 1)), np.full((3, 24), 1e200), np.full((4, 24), np.nan),
+    ]).astype(float)
+    label = [f"l{v}" for v in rng.integers(0, 9, len(x))]
+    q = np.concatenate([x[::3], x[-7:], rng.standard_normal((2500, 24)) * 3])
+    df = frame(spark, x).join(spark.createDataFrame(list(enumerate(label)), "t long, label string"), "t")
+    node = classifiers.KNN(5).fit(df)
+    got = {}
+    for r in node.neighbours(frame(spark, q), "t").collect():
+        got.setdefault(r.t, []).append((r.d2, r.l))
+    said = {r.t: r.said for r in node.label_by(frame(spark, q), "t", "said").collect()}
+    assert len(got) == len(said) == len(q)
+    ordered = lambda rows: sorted(rows, key=lambda w: (np.isnan(w[0]), np.nan_to_num(w[0], nan=0.0, posinf=np.inf), w[1]))
+    with np.errstate(all="ignore"):
+        for i in [*range(0, 900, 5), *range(900, len(q), 100), *range(len(x[::3]), len(x[::3]) + 7)]:
+            d = sum((x[:, j] - q[i, j]) ** 2 for j in range(24))
+            want = ordered(zip(d.tolist(), label, strict=True))[:5]
+            assert repr(ordered(got[i])) == repr(want)
+            votes = [w for _, w in want]
+            assert said[i] == min(votes, key=lambda w: (-votes.count(w), w))
+
+
+def test_nearest_neighbours_block_by_block(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 3, (300, 12)).astype(float), rng.integers(0, 3, (2000, 12)).astype(float)
+    sizes, labels = rng.integers(1, 4, 2000), rng.integers(0, 50, 6000)
+    search, done = classifiers._Search(a, 7), 0
+    search.PAIRS = 1 << 12
+    for i, j in ((0, 3), (3, 700), (700, 701), (701, 2000)):
+        n = sizes[i:j].sum()
+        search.add(b[i:j], sizes[i:j], labels[done : done + n])
+        done += n
+    rows = np.repeat(b, sizes, 0)
+    for i, v in enumerate(a):
+        want = sorted(zip(((rows - v) ** 2).sum(1).tolist(), labels[:done].tolist(), strict=True))[:7]
+        assert list(zip(search.d2[search.i == i].tolist(), search.l[search.i == i].tolist(), strict=True)) == want
+
+
+def test_knn_query_takes_all_numbers_of_a_vector(spark, tmp_path):
+    """The labels show in the last numbers only."""
+    from flowgrain.plans import catalog
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        v = np.zeros(64)
+        v[3:] = rng.standard_normal(61) * 0.01
+        v[39 + i % 4 * 8] += 1.0
+        rows.append((i, v.tolist(), i % 4))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalog.queries()["knn"](spark, str(tmp_path)).collect()
+    assert sorted((r.vec_id, r.label) for r in found) == [(i, i % 4) for i in range(120)]
+
+
 def test_time_operators_exact(spark):
     df = frame(spark, [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12], [13, 14, 15]])
     y = mat(timeops.TimeDelay(3, 2).transform(df))
